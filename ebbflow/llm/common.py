@@ -123,20 +123,22 @@ def components(edges: DataFrame, name: str = "components") -> DataFrame:
     """
     e = edges.select(F.col("a").cast("long"), F.col("b").cast("long")).where("a <> b")
     e = store(e.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), name)
-    nodes = e.select(F.col("a").alias("id")).union(e.select("b")).distinct()
-    while True:
+    mark = [F.count("*"), F.bit_xor(F.xxhash64("a", "b"))]
+    last = e.agg(*mark).first()
+    while last[0]:
         # large star: every larger neighbour of a node goes to the smallest of its neighbourhood
         both = e.union(e.select(F.col("b").alias("a"), F.col("a").alias("b")))
         low = both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m"))
         large = both.where("b > a").join(low, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).where("a <> b").distinct()
         # small star: every smaller neighbour goes to the smallest of them
         low = large.groupBy("a").agg(F.min("b").alias("m"))
-        small = large.join(low, "a").select(F.explode(F.array(F.struct("a", F.col("m").alias("b")), F.struct(F.col("b").alias("a"), F.col("m").alias("b")))).alias("x")).select("x.a", "x.b").where("a <> b").distinct()
+        pairs = F.array(F.struct(F.col("a"), F.col("m").alias("b")), F.struct(F.col("b").alias("a"), F.col("m").alias("b")))
+        small = large.join(low, "a").select(F.explode(pairs).alias("x")).select("x.a", "x.b").where("a <> b").distinct()
         new = store(small, name)
-        same = new.exceptAll(e).isEmpty() and new.count() == e.count()
         drop_stored(e)
-        e = new
-        if same:
+        e, now = new, new.agg(*mark).first()
+        if now == last:
             break
-    roots = e.groupBy("a").agg(F.min("b").alias("component"))
-    return nodes.join(roots, nodes.id == roots.a, "left").select("id", F.coalesce("component", "id").alias("component"))
+        last = now
+    # stars now: every node but the roots points at its root
+    return e.select(F.col("a").alias("id"), F.col("b").alias("component")).union(e.select(F.col("b").alias("id"), F.col("b").alias("component")).distinct())
