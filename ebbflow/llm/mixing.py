@@ -72,7 +72,7 @@ def budget_leaves(leaves: DataFrame, budget, weights: dict, max_epochs: int) ->
     return leaves.join(shares, list(LEVELS), "left").withColumn("share", F.floor(F.coalesce("share", F.lit(0.0)) + F.lit(1e-6)))
 
 
-def plan(docs: DataFrame, fraction: float = 0.5, weights: dict | None = None, max_epochs: int = 2, seed: int = 17, domain: str | None = None, text: str = "text", key: str = "doc_id") -> DataFrame:
+def plan(docs: DataFrame, fraction: float = 0.8, weights: dict | None = None, max_epochs: int = 2, seed: int = 17, domain: str | None = None, text: str = "text", key: str = "doc_id") -> DataFrame:
     """(row columns key, digest, levels, n_tokens, copies): how often each row is taken; ``fraction`` of all tokens is
     the budget."""
     weights = WEIGHTS if weights is None else weights

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, forest, jaccard, mixing, neardup, pii, spans, suffixes, toxicity
+from . import bpe, forest, jaccard, licenses, mixing, neardup, pii, spans, suffixes, toxicity
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -48,6 +48,10 @@ def op6_suffix_array(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffixes.digest(suffixes.dedup(_table(spark, sf_dir, "documents")))
 
 
+def op7_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.scan(_table(spark, sf_dir, "documents"))
+
+
 def op8_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.plan(_table(spark, sf_dir, "documents")).drop("digest")
 
@@ -67,9 +71,12 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op4_sentence_spans": op4_sentence_spans,
     "op5_prefix_forest": op5_prefix_forest,
     "op6_suffix_array": op6_suffix_array,
+    "op7_license_scan": op7_license_scan,
     "op8_mixing": op8_mixing,
     "op9_byte_bpe": op9_byte_bpe,
     "op10_jaccard_join": op10_jaccard_join,
 }
 
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = {
+    "op7_license_scan": licenses.oracle(),
+}
