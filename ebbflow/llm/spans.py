@@ -3,7 +3,8 @@
 A text is cut into sentences (at . ! ? before white space, and at line ends); a sentence of more than ``long_sentence``
 words is cut further behind words picked by their own hash, so that a passage is cut alike wherever it stands. Every run
 of ``run`` consecutive sentences is hashed (96 bits) and joined over the whole corpus; the sentences under any run but
-its first (smallest doc_id, then place) are removed.
+its first (smallest doc_id, then place) are removed. A task sends each hash once, for its smallest document, sorted and
+packed; the others it holds are settled at once, so a passage in very many documents is gathered nowhere.
 
 Rows of one doc_id count as one document; a null doc_id counts as the largest. Defined results: a null text is empty and
 has no sentence; a text of fewer sentences than a run loses nothing; repeated rows lose nothing to each other; other
@@ -18,7 +19,8 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import _PLACES, WordHashes, arrow_rows, mix, store
+from .cells import groups
+from .common import _PLACES, WordHashes, arrow_rows, mix, pack, store, unpack
 
 _SENTENCE = re.compile(r"[^\n]+?(?:[.!?]+(?=\s)|(?=\n)|$)")
 _LAST = (1 << 63) - 1
@@ -71,36 +73,82 @@ def run_hashes(h: np.ndarray, run: int) -> tuple[np.ndarray, np.ndarray]:
 
 
 def find(docs: DataFrame, run: int = 3, text: str = "text", key: str = "doc_id") -> DataFrame:
-    """(key, digest, starts, ends, removed): the sentences of each distinct (key, text), and the places of those that
-    go. Positions are code points."""
+    """(key, digest, starts, ends, removed) of every row: the sentences of its text, and the places of those that go.
+    Positions are code points."""
+    parts = max(1, int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")))
 
     def scan(batches):
         import hashlib
 
         import pyarrow as pa
 
-        memory = WordHashes()
+        ints = pa.list_(pa.int32())
+        kinds = [("part", pa.int32()), ("block", pa.binary()), ("key", pa.int64()), ("tag", pa.int64()), ("digest", pa.string()), ("starts", ints), ("ends", ints), ("gone", ints)]
+        memory, held, n = WordHashes(), [], 0
+
+        def batch(rows):
+            return pa.RecordBatch.from_arrays([pa.array([r.get(k) for r in rows], t) for k, t in kinds], [k for k, _ in kinds])
+
+        def flush():
+            h, g, k, tag, at = (np.concatenate([x[i] for x in held]) for i in range(5))
+            held.clear()
+            order = np.lexsort((k, g, h))
+            h, g, k, tag, at = h[order], g[order], k[order], tag[order], at[order]
+            new = np.concatenate([[True], (h[1:] != h[:-1]) | (g[1:] != g[:-1])])
+            later = k > k[np.maximum.accumulate(np.where(new, np.arange(len(h)), 0))]
+            rows = []
+            o = np.flatnonzero(later)
+            o = o[np.lexsort((tag[o], k[o]))]
+            cut = np.flatnonzero(np.concatenate([[True], (k[o][1:] != k[o][:-1]) | (tag[o][1:] != tag[o][:-1])])).tolist() if len(o) else []
+            for s, e in zip(cut, [*cut[1:], len(o)], strict=False):
+                rows.append({"key": k[o[s]], "tag": tag[o[s]], "gone": at[o[s:e]]})
+            h, g, k, tag, at = (x[~later] for x in (h, g, k, tag, at))
+            part = (h >> np.uint64(32)) * np.uint64(parts) >> np.uint64(32)
+            edges = np.searchsorted(part, np.arange(parts + 1, dtype=np.uint64)).tolist()
+            for p, (s, e) in enumerate(zip(edges, edges[1:], strict=False)):
+                if s < e:
+                    rows.append({"part": p, "block": pack(*(x[s:e].astype(np.uint64) for x in (h, g, k, tag, at)))})
+            return batch(rows)
+
         for keys, texts in arrow_rows(batches, text, key):
-            rows = {k: [] for k in ("key", "digest", "starts", "ends", "h", "g", "inner")}
+            rows = []
             for k, t in zip(keys, texts, strict=True):
+                k, digest = _LAST if k is None else k, hashlib.md5(t.encode()).hexdigest()
+                tag = int(digest[:8], 16)
                 starts, ends, own = sentences(t, memory)
                 h, g = run_hashes(own, run)
-                _, first = np.unique(h, return_index=True)
-                inner = np.ones(len(h), bool)
-                inner[first] = False  # a run met before in the same document
-                for c, v in zip(rows, (_LAST if k is None else k, hashlib.md5(t.encode()).hexdigest(), starts, ends, h, g, np.flatnonzero(inner)), strict=True):
-                    rows[c].append(v)
-            ints = pa.list_(pa.int32())
-            kinds = (pa.int64(), pa.string(), ints, ints, pa.list_(pa.int64()), ints, ints)
-            yield pa.RecordBatch.from_arrays([pa.array(v, t) for v, t in zip(rows.values(), kinds, strict=True)], list(rows))
-
-    out = docs.select(key, text).mapInArrow(scan, "key long, digest string, starts array<int>, ends array<int>, h array<long>, g array<int>, inner array<int>")
-    base = store(out, "sentences")
-    runs = base.select("key", "digest", F.posexplode(F.arrays_zip("h", "g")).alias("at", "x")).select("key", "digest", "at", "x.h", "x.g")
-    firsts = runs.groupBy("h", "g").agg(F.min("key").alias("first"), F.max("key").alias("last")).where("first < last").drop("last")
-    across = runs.join(firsts, ["h", "g"]).where("key > first").groupBy("key", "digest").agg(F.collect_set("at").alias("across"))
-    joined = base.drop("h", "g").join(across, ["key", "digest"], "left").dropDuplicates(["key", "digest"])
-    gone = F.array_union("inner", F.coalesce("across", F.array().cast("array<int>")))
+                at = np.unique(h, return_index=True)[1]  # runs met before in the same document go in any case
+                inner = np.setdiff1d(np.arange(len(h)), at)
+                rows.append({"key": k, "tag": tag, "digest": digest, "starts": starts, "ends": ends, "gone": inner})
+                held.append((h[at].view(np.uint64), g[at].view(np.uint32), np.full(len(at), k), np.full(len(at), tag), at))
+                n += len(at)
+            yield batch(rows)
+            if n > 1_000_000:
+                yield flush()
+                n = 0
+        if n:
+            yield flush()
+
+    out = docs.select(key, text).mapInArrow(scan, "part int, block binary, key long, tag long, digest string, starts array<int>, ends array<int>, gone array<int>")
+    sent = store(out, "sentences")
+
+    def meet(batches):
+        import pyarrow as pa
+
+        for _, t in groups(batches, ["part"]):
+            h, g, k, tag, at = map(np.concatenate, zip(*[unpack(x, 5) for x in t.column("block").to_pylist()], strict=True))
+            k = k.astype(np.int64)
+            order = np.lexsort((k, g, h))
+            h, g, k = h[order], g[order], k[order]
+            new = np.concatenate([[True], (h[1:] != h[:-1]) | (g[1:] != g[:-1])])
+            later = k > k[np.maximum.accumulate(np.where(new, np.arange(len(h)), 0))]
+            yield pa.RecordBatch.from_arrays([pa.array(k[later]), pa.array(tag[order][later].astype(np.int64)), pa.array(at[order][later].astype(np.int32))], ["key", "tag", "at"])
+
+    far = sent.where("part is not null").select("part", "block").repartition(parts, "part").sortWithinPartitions("part").mapInArrow(meet, "key long, tag long, at int")
+    near = sent.where("part is null and digest is null").select("key", "tag", F.explode("gone").alias("at"))
+    across = far.unionByName(near).groupBy("key", "tag").agg(F.collect_set("at").alias("across"))
+    joined = sent.where("digest is not null").drop("part", "block").join(across, ["key", "tag"], "left")
+    gone = F.array_union("gone", F.coalesce("across", F.array().cast("array<int>")))
     removed = F.array_sort(F.array_distinct(F.flatten(F.transform(gone, lambda i: F.sequence(i, i + F.lit(run - 1))))))
     return joined.select(F.col("key").alias(key), "digest", "starts", "ends", removed.alias("removed"))
 
@@ -113,7 +161,7 @@ def removed_spans(found: DataFrame, key: str = "doc_id") -> DataFrame:
 
 def remove(docs: DataFrame, run: int = 3, text: str = "text", key: str = "doc_id") -> DataFrame:
     """``docs`` without the sentences that ``find`` removes; all other columns and rows as they are."""
-    found = find(docs, run, text, key).where(F.size("removed") > 0)
+    found = find(docs, run, text, key).where(F.size("removed") > 0).dropDuplicates([key, "digest"])
     cuts = F.transform("removed", lambda i: F.struct(F.get("starts", i).alias("a"), F.get("ends", i).alias("b")))
     cuts = found.select(F.col(key).alias("__key"), F.col("digest").alias("__digest"), cuts.alias("__cuts"))
     marked = docs.withColumns({"__key": F.coalesce(F.col(key).cast("long"), F.lit(_LAST)), "__digest": F.md5(F.coalesce(F.col(text), F.lit("")))})

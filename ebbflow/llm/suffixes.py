@@ -30,7 +30,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .cells import groups
-from .common import store
+from .common import pack, store, unpack
 
 LENGTH, GRAM = 50, 22
 WIDTH = LENGTH - GRAM + 1  # k-grams in a string
@@ -84,25 +84,6 @@ def anchors(data: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]
     return at, h[at] >> np.uint64(64 - BITS)
 
 
-def pack(*columns: np.ndarray) -> bytes:
-    """Columns as compressed planes of bytes, the first of them sorted and as differences."""
-    import zstandard
-
-    first, parts = columns[0], []
-    for c in (np.diff(first, prepend=first[:1] * 0), *columns[1:]):
-        parts.append(np.ascontiguousarray(c.astype("<u8").view(np.uint8).reshape(-1, 8).T).tobytes())
-    return zstandard.ZstdCompressor(level=3).compress(struct.pack("<q", len(first)) + b"".join(parts))
-
-
-def unpack(block: bytes, columns: int) -> list[np.ndarray]:
-    import zstandard
-
-    raw = zstandard.ZstdDecompressor().decompress(block)
-    (n,) = struct.unpack("<q", raw[:8])
-    out = [np.ascontiguousarray(np.frombuffer(raw, np.uint8, n * 8, 8 + i * n * 8).reshape(8, n).T).view("<u8").ravel() for i in range(columns)]
-    return [np.cumsum(out[0], dtype=np.uint64), *out[1:]]
-
-
 def slices(batches, most: int = 3_000_000) -> Iterator[tuple[list, list, list[bytes]]]:
     """(ids, tids, texts as bytes) of batches, about ``most`` bytes at a time."""
     for b in batches:
