@@ -65,14 +65,16 @@ def pi_steps(n: int, graph_: str = "tr", name: str = "pi") -> str:
     for i in range(n):
         a = f"{name}{i}"
         sql += f"""
-{name}x{i} AS (SELECT node, 0.85::DOUBLE * (coalesce(x, 0) + (SELECT coalesce(sum(pi), 0) FROM {a} WHERE node NOT IN (SELECT src FROM {graph_})) / (SELECT count(*) FROM nodes)) + 0.15::DOUBLE / (SELECT count(*) FROM nodes) AS pi
+{name}x{i} AS MATERIALIZED (SELECT node, 0.85::DOUBLE * (coalesce(x, 0) + (SELECT coalesce(sum(pi), 0) FROM {a} WHERE node NOT IN (SELECT src FROM {graph_})) / (SELECT count(*) FROM nodes)) + 0.15::DOUBLE / (SELECT count(*) FROM nodes) AS pi
   FROM {a} LEFT JOIN (SELECT dst, sum(pi * p) AS x FROM {a} JOIN {graph_} ON node = src GROUP BY dst) ON node = dst),
-{name}{i + 1} AS (SELECT node, pi / (SELECT sum(pi) FROM {name}x{i}) AS pi FROM {name}x{i}),"""
+{name}{i + 1} AS MATERIALIZED (SELECT node, pi / (SELECT sum(pi) FROM {name}x{i}) AS pi FROM {name}x{i}),"""
     return sql
 
 
 def final(sql: str, last: str) -> str:
-    return sql.rstrip().rstrip(",") + "\n" + last
+    """``sql`` ends in a comma; ``last`` is a query, or more tables and a query."""
+    more = not last.lstrip().upper().startswith(("SELECT", ","))
+    return (sql.rstrip() if more else sql.rstrip().rstrip(",")) + "\n" + last
 
 
 PI7 = FLUX + pi_steps(7)
@@ -299,7 +301,7 @@ def rank_last(s, d):
     return out(rows, ["ticker", "place"], ["score"], 7)
 
 
-@query(final(PI7, "SELECT node AS ticker, round(pi, 9) AS pi FROM pi7 ORDER BY round(pi, 12), node LIMIT 10"))
+@query(final(PI7, "SELECT ticker, pi FROM (SELECT node AS ticker, round(pi, 9) AS pi, row_number() OVER (ORDER BY round(pi, 12), node) AS k FROM pi7) WHERE k <= 10"))
 def rank_bottom(s, d):
     return out(_pi(s, d).orderBy(F.round("pi", 12), "node").limit(10).withColumnRenamed("node", "ticker"), ["ticker"], ["pi"], 9)
 
@@ -461,7 +463,7 @@ def spearman_ic(s, d):
 @query(final(IC, "SELECT year(t)::BIGINT AS year, count(ic) AS n, round(avg(ic), 7) AS mean, round(avg(ic) / (stddev_samp(ic) / sqrt(count(ic))), 6) AS t FROM ic JOIN cal USING (bar_idx) GROUP BY year(t)"))
 def ic_by_year(s, d):
     cal = _bars(s, d).select("bar_idx", F.year("t").alias("year")).distinct()
-    return out(stats.mean_t(_ic(s, d).join(cal, "bar_idx"), "ic", ["year"]).select("year", "n", F.round("mean", 7).alias("mean"), "t"), ["year", "n"], ["mean", "t"])
+    return out(stats.mean_t(_ic(s, d).join(cal, "bar_idx"), "ic", ["year"]).select("year", "n", "mean", F.round("t", 6).alias("t")), ["year", "n"], ["mean", "t"], 7)
 
 
 @query(final(BARS, "SELECT ticker, bar_idx, round(CASE WHEN s > 0 THEN greatest(-3.0, least(3.0, (r - m) / s)) ELSE 0 END::DOUBLE, 6) AS z FROM (SELECT *, avg(r) OVER (PARTITION BY bar_idx) AS m, stddev_pop(r) OVER (PARTITION BY bar_idx) AS s FROM rets WHERE r IS NOT NULL)"))
@@ -650,9 +652,9 @@ def observed_flows(s, d):
     return out(holdings.observed_flows(tables.holdings(s, d), "1996Q1", "1996Q2"), ["src", "dst"], ["w"], 3)
 
 
-@query(final(HOLD, "SELECT quarter, ticker, count(*) AS holders, round(quantile_cont(value_usd / shares, 0.5), 5) AS price FROM hold WHERE shares > 0 GROUP BY quarter, ticker"))
+@query(final(HOLD, "SELECT quarter, ticker, count(*) AS holders, round(quantile_cont(value_usd / shares, 0.5), 8) AS price FROM hold WHERE shares > 0 GROUP BY quarter, ticker"))
 def quarter_pricing(s, d):
-    return out(holdings.quarter_pricing(tables.holdings(s, d)), ["quarter", "ticker", "holders"], ["price"], 5)
+    return out(holdings.quarter_pricing(tables.holdings(s, d)), ["quarter", "ticker", "holders"], ["price"], 8)
 
 
 @query(final(HOLD, """ x AS (SELECT quarter, cik, ticker, shares, CASE WHEN cik % 7 = 0 THEN value_usd * 1000 ELSE value_usd END AS value_usd FROM hold),
@@ -685,7 +687,7 @@ def mapped_coverage(s, d):
 
 
 # --- walk-forward ------------------------------------------------------------------------------------------------
-SIG = FWD + """ sg AS (SELECT fwd.bar_idx, fwd.ticker, fwd, r AS mom, -ln(v * vw) AS small FROM fwd JOIN rets USING (ticker, bar_idx) WHERE fwd IS NOT NULL AND r IS NOT NULL),
+SIG = FWD + """ sg AS (SELECT fwd.bar_idx, fwd.ticker, fwd, r AS mom, -ln(rets.v * rets.vw) AS small FROM fwd JOIN rets USING (ticker, bar_idx) WHERE fwd IS NOT NULL AND r IS NOT NULL),
 lg AS (SELECT bar_idx, ticker, fwd, 'mom' AS signal, mom AS x FROM sg UNION ALL SELECT bar_idx, ticker, fwd, 'small', small FROM sg),
 sic AS (SELECT bar_idx AS step, signal, corr(rx, ry) AS ic FROM (SELECT bar_idx, signal, rank() OVER (PARTITION BY bar_idx, signal ORDER BY x) + (count(*) OVER (PARTITION BY bar_idx, signal, x) - 1) / 2.0::DOUBLE AS rx, rank() OVER (PARTITION BY bar_idx, signal ORDER BY fwd) + (count(*) OVER (PARTITION BY bar_idx, signal, fwd) - 1) / 2.0::DOUBLE AS ry FROM lg) GROUP BY 1, 2),
 bw AS (SELECT step, signal, coalesce(pos / nullif(sum(pos) OVER (PARTITION BY step), 0), 0) AS w FROM (SELECT step, signal, CASE WHEN count(ic) OVER w >= 6 THEN greatest(avg(ic) OVER w, 0) ELSE 0 END AS pos FROM sic WINDOW w AS (PARTITION BY signal ORDER BY step ROWS BETWEEN 37 PRECEDING AND 2 PRECEDING))),"""
@@ -770,4 +772,4 @@ def registry_variance(s, d):
 def clustered_t(s, d):
     cal = _bars(s, d).select("bar_idx", F.date_trunc("quarter", "t").alias("q")).distinct()
     m = _ic(s, d).where("ic is not null").join(cal, "bar_idx").groupBy("q").agg(F.avg("ic").alias("m")).withColumn("all", F.lit(0))
-    return out(stats.mean_t(m, "m", ["all"]).select(F.round("mean", 7).alias("mean"), "t"), [], ["mean", "t"])
+    return out(stats.mean_t(m, "m", ["all"]).select("mean", F.round("t", 6).alias("t")), [], ["mean", "t"], 7)

@@ -61,9 +61,9 @@ def simulate(prices: DataFrame, targets: DataFrame, cost_bps: float = 10.0, turn
         return frame
 
     kind = dict(targets.dtypes)["t"]
-    own = targets.select("strategy").distinct()
+    own = targets.select(F.col("strategy").alias("of")).distinct()
     per = own.crossJoin(prices.select("t", "ticker", "o", "c"))  # every strategy sees all prices
-    return targets.groupBy("strategy").cogroup(per.groupBy("strategy")).applyInPandas(run, f"strategy string, t {kind}, value double")
+    return targets.groupBy("strategy").cogroup(per.groupBy("of")).applyInPandas(run, f"strategy string, t {kind}, value double")
 
 
 def curve_returns(curve: DataFrame) -> DataFrame:
