@@ -99,7 +99,7 @@ def plan(docs: DataFrame, fraction: float = 0.8, weights: dict | None = None, ma
         cut = fit.select(*LEVELS, F.coalesce("x.bucket", F.lit("~")).alias("prefix"), F.coalesce("x.room", F.lit(0)).alias("room"))
         cut = store(cut, "mix-cut")
     at = F.substring("place", 1, DIGITS * STEPS)
-    both = ranked.join(cut, list(LEVELS))
+    both = ranked.join(cut, list(LEVELS), "left").withColumns({"prefix": F.coalesce("prefix", F.lit("~")), "room": F.coalesce("room", F.lit(0))})  # a leaf without tokens has no cut
     edge = both.where(at == F.col("prefix"))
     by = Window.partitionBy(*LEVELS, "prefix").orderBy("place").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     edge = edge.withColumn("last", (F.sum("n_tokens").over(by) <= F.col("room")).cast("int"))
