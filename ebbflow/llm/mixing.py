@@ -114,3 +114,28 @@ def mix(docs: DataFrame, text: str = "text", key: str = "doc_id", **how) -> Data
     marked = docs.withColumns({"__key": F.col(key), "__digest": F.md5(F.coalesce(F.col(text), F.lit("")))})
     joined = marked.alias("m").join(taken.alias("t"), F.expr("m.__key <=> t.__key and m.__digest = t.__digest"))
     return joined.withColumn("__again", F.explode(F.sequence(F.lit(1), F.col("t.__copies")))).select(*[F.col(f"m.{c}") for c in docs.columns])
+
+
+def oracle(fraction: float = 0.8, weights: dict | None = None, max_epochs: int = 2, seed: int = 17, table: str = "documents") -> str:
+    """The same plan as SQL, with each leaf sorted whole."""
+    weights = WEIGHTS if weights is None else weights
+    sql = f"""
+WITH rows0 AS (SELECT doc_id, md5(coalesce(text, '')) AS digest, {domain_of()} AS domain, coalesce(lang, '{NONE}') AS lang, coalesce(source, '{NONE}') AS source,
+  len(regexp_extract_all(coalesce(text, ''), '[^ \\t\\r\\n\\x0B\\f]+'))::BIGINT AS n_tokens FROM {table}),
+leaves AS (SELECT domain, lang, source, sum(n_tokens)::BIGINT AS supply FROM rows0 GROUP BY domain, lang, source),
+s0 AS (SELECT least({fraction}::DOUBLE * sum(supply), sum(supply) * {max_epochs}.0::DOUBLE) AS share FROM leaves),"""
+    for d, level in enumerate(LEVELS, 1):
+        keys, above = ", ".join(LEVELS[:d]), ", ".join(LEVELS[: d - 1])
+        w = "CASE " + " ".join(f"WHEN {level} = '{k}' THEN {v}::DOUBLE" for k, v in weights.get(level, {}).items()) + " ELSE 1.0::DOUBLE END" if weights.get(level) else "1.0::DOUBLE"
+        join = f"JOIN s{d - 1} USING ({above})" if above else "CROSS JOIN s0"
+        part = f"PARTITION BY {above}" if above else ""
+        sql += f"""
+n{d} AS (SELECT {keys}, c, w, share FROM (SELECT {keys}, sum(supply * {max_epochs}.0::DOUBLE) AS c, {w} AS w FROM leaves GROUP BY {keys}) {join} WHERE w > 0),
+f{d} AS (SELECT *, coalesce(sum(c) OVER ({part} ORDER BY c / w, {level} ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS used, sum(w) OVER ({part} ORDER BY c / w, {level} ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS onward FROM n{d}),
+g{d} AS (SELECT *, c * onward <= w * (share - used) AS filled FROM f{d}),
+s{d} AS (SELECT {keys}, CASE WHEN filled THEN c ELSE (share - coalesce(sum(CASE WHEN filled THEN c END) OVER ({part}), 0)) * w / sum(CASE WHEN NOT filled THEN w END) OVER ({part}) END AS share FROM g{d}),"""
+    return sql + f"""
+l AS (SELECT domain, lang, source, supply, floor(coalesce(share, 0) + 0.000001) AS share FROM leaves LEFT JOIN s{len(LEVELS)} USING (domain, lang, source)),
+e AS (SELECT *, CASE WHEN supply > 0 THEN floor(share / supply)::INT ELSE 0 END AS epochs FROM l),
+o AS (SELECT r.*, epochs, (share - epochs * supply)::BIGINT AS rest, sum(n_tokens) OVER (PARTITION BY domain, lang, source ORDER BY md5(concat('{seed}:', epochs, ':', doc_id, ':', digest)) ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS upto FROM rows0 r JOIN e USING (domain, lang, source))
+SELECT doc_id, domain, lang, source, n_tokens, (epochs + CASE WHEN rest > 0 AND upto <= rest THEN 1 ELSE 0 END)::BIGINT AS copies FROM o"""

@@ -168,3 +168,14 @@ def near_duplicates(table: DataFrame, threshold: float = 0.9, key: str = "vec_id
     labels = out.join(least, "component").select("vector", "component_id", (F.col("n") + F.col("weight") - 1).alias("n_links"))
     joined = rows.select("key", "vector").join(labels, "vector", "left").select("key", F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), F.coalesce("component_id", "key").alias("component_id"))
     return joined.select(F.col("key").alias(key), "n_links", "component_id", F.col("key").eqNullSafe(F.col("component_id")).alias("kept"))
+
+
+def oracle(threshold: float = 0.9, table: str = "embeddings") -> str:
+    """All pairs as SQL, for vectors that all have a direction and ids that are unique."""
+    return f"""
+WITH RECURSIVE e AS (SELECT vec_id, embedding::DOUBLE[] AS v FROM {table}),
+l AS (SELECT a.vec_id AS a, b.vec_id AS b FROM e a JOIN e b ON a.vec_id <> b.vec_id WHERE list_cosine_similarity(a.v, b.v) >= {threshold}),
+r(id, root) AS (SELECT vec_id, vec_id FROM e UNION SELECT r.id, l.b FROM r JOIN l ON r.root = l.a),
+c AS (SELECT id AS vec_id, min(root) AS component_id FROM r GROUP BY id),
+n AS (SELECT a AS vec_id, count(*) AS n FROM l GROUP BY a)
+SELECT vec_id, coalesce(n, 0)::BIGINT AS n_links, component_id, vec_id = component_id AS kept FROM c LEFT JOIN n USING (vec_id)"""

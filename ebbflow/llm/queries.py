@@ -78,5 +78,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 }
 
 ORACLE_SQL: dict[str, str] = {
+    "op1_embedding_neardup": neardup.oracle(),
     "op7_license_scan": licenses.oracle(),
+    "op8_mixing": mixing.oracle(),
 }
