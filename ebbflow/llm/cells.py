@@ -2,7 +2,7 @@
 
 A group of n members is dealt over c = ceil(n / block) chunks; each pair of chunks is a cell, and each member goes to the
 c cells of its chunk. A task holds one cell at a time, whatever the size of the group, and returns counts and a spanning
-forest rather than pairs.
+forest rather than pairs. A cell of two chunks returns only the edges that join what the chunks' own cells leave apart.
 """
 
 from __future__ import annotations
@@ -13,6 +13,8 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import release
+
 
 def groups(batches, keys: list[str]) -> Iterator[tuple[tuple, object]]:
     """(key, Arrow table) of each group, from batches sorted by ``keys``."""
@@ -36,6 +38,8 @@ def groups(batches, keys: list[str]) -> Iterator[tuple[tuple, object]]:
             held.append(b.slice(s, e - s))
     if held:
         yield now, pa.Table.from_batches(held)
+    del held
+    release()
 
 
 def forest(adj: np.ndarray) -> list[tuple[int, int]]:
@@ -54,6 +58,33 @@ def forest(adj: np.ndarray) -> list[tuple[int, int]]:
     return out
 
 
+def bridges(square: np.ndarray, n: int) -> list[tuple[int, int]]:
+    """Edges between the first ``n`` and the rest that join components which the cells of either chunk leave apart."""
+    own = square.copy()
+    np.fill_diagonal(own, False)
+    own[:n, n:] = own[n:, :n] = False
+    root = np.arange(len(square))
+
+    def top(v: int) -> int:
+        while root[v] != v:
+            root[v] = root[root[v]]
+            v = int(root[v])
+        return v
+
+    for a, b in forest(own):
+        root[top(b)] = top(a)
+    label = np.array([top(v) for v in range(len(square))])
+    a, b = np.nonzero(square[:n, n:])
+    _, first = np.unique(label[a] * len(square) + label[b + n], return_index=True)
+    out = []
+    for k in first.tolist():
+        x, y = top(int(a[k])), top(int(b[k]) + n)
+        if x != y:
+            root[y] = x
+            out.append((int(a[k]), int(b[k]) + n))
+    return out
+
+
 def deal(members: DataFrame, group: str, size: str, member: str, block: int) -> DataFrame:
     """``members`` with their cells: columns ``i`` <= ``j`` and the member's own chunk ``k``."""
     c = F.ceil(F.col(size) / F.lit(block)).cast("int")
@@ -76,18 +107,17 @@ def compare(dealt: DataFrame, group: str, member: str, weight: str | None, simil
             if not len(left) or not len(right) or i == j and len(left) < 2:
                 continue
             w = np.ones(len(ids), np.int64) if weight is None else t.column(weight).to_numpy()
-            hit = similar(t, left, right)
             if i == j:
+                hit = similar(t, left, left)
                 np.fill_diagonal(hit, False)
-                counts, own = hit @ w[right], ids[left]
-                edges = [(left[a], right[b]) for a, b in forest(hit)]
+                counts, own = hit @ w[left], ids[left]
+                edges = [(left[a], left[b]) for a, b in forest(hit)]
             else:
-                counts, own = np.concatenate([hit @ w[right], hit.T @ w[left]]), np.concatenate([ids[left], ids[right]])
-                n = len(left)
-                both = np.concatenate([left, right])
-                square = np.zeros((len(both), len(both)), bool)
-                square[:n, n:], square[n:, :n] = hit, hit.T
-                edges = [(both[a], both[b]) for a, b in forest(square)]
+                n, both = len(left), np.concatenate([left, right])
+                square = similar(t, both, both)
+                hit = square[:n, n:]
+                counts, own = np.concatenate([hit @ w[right], hit.T @ w[left]]), ids[both]
+                edges = [(both[a], both[b]) for a, b in bridges(square, n)]
             some = counts > 0
             if not some.any():
                 continue
