@@ -3,8 +3,8 @@
 Texts are sets of hashed runs of five words. Equal sets are one member with a weight. Each member has a signature of
 min-hashes; a path is a sequence of coordinates, drawn alike for all members of a node, and members go on together while
 they agree at the coordinates drawn: each level splits a node by the tokens its sets share. Nodes of at most ``block``
-members are compared outright, and so are nodes that no longer shrink or have reached the last level, in cells of
-bounded size. Runs with new seeds are repeated, in batches, until a batch finds at most ``1 - recall`` of its links new.
+members are compared outright, and so are nodes that are alike on the whole (most agree at a further coordinate), no
+longer shrink or have reached the last level, in cells of bounded size. Runs with new seeds are repeated, in batches, until a batch finds at most ``1 - recall`` of its links new.
 What the signatures propose is then verified on the exact sets, component by component, so each link counts once.
 
 Defined results: a null or blank text has no set and no link; a text of fewer than five words is one run of all its
@@ -78,9 +78,10 @@ def children(nodes: DataFrame, level: int, rate: float) -> DataFrame:
             y = (paths.view(np.uint64)[r] ^ (c.astype(np.uint64) << np.uint64(40))) * np.uint64(0x9FB21C651E98DF25) + sig[r, c]
             y = (y ^ (y >> np.uint64(35))) * np.uint64(0x9FB21C651E98DF25)
             y ^= y >> np.uint64(28)
-            yield pa.RecordBatch.from_arrays([pa.array(y.view(np.int64)), pa.array(sizes[r]), pa.array(ids[r])], ["path", "parent_n", "member"])
+            probe = sig[r, (c + COORDINATES // 2) % COORDINATES].view(np.int32)
+            yield pa.RecordBatch.from_arrays([pa.array(y.view(np.int64)), pa.array(sizes[r]), pa.array(ids[r]), pa.array(probe)], ["path", "parent_n", "member", "probe"])
 
-    return nodes.mapInArrow(run, "path long, parent_n long, member long")
+    return nodes.mapInArrow(run, "path long, parent_n long, member long, probe int")
 
 
 def proposals(members: DataFrame, first_run: int, runs: int, threshold: float, estimate: float, block: int, levels: int) -> DataFrame:
@@ -93,9 +94,9 @@ def proposals(members: DataFrame, first_run: int, runs: int, threshold: float, e
     ready = None
     for level in range(levels):
         kids = store(children(nodes, level, rate), "paths")
-        sizes = kids.groupBy("path").agg(F.count("*").alias("n")).where("n > 1")
-        kids = kids.join(sizes, "path")
-        done = F.col("n") <= block
+        sizes = kids.groupBy("path", "probe").agg(F.count("*").alias("m")).groupBy("path").agg(F.sum("m").alias("n"), F.max("m").alias("alike")).where("n > 1")
+        kids = kids.drop("probe").join(sizes, "path")
+        done = (F.col("n") <= block) | (F.col("alike") >= 0.6 * F.col("n"))  # small, or alike on the whole
         if level:
             done = done | (F.col("n") > 0.7 * F.col("parent_n"))  # it no longer shrinks
         if level == levels - 1:
