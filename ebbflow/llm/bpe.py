@@ -128,7 +128,7 @@ def pieces(texts: list[str], classes: Classes) -> Iterator[tuple[bytes, list[int
 class Merger(dict):
     """Piece (bytes) to its ids as little-endian 32-bit integers; remembers about ``most`` pieces."""
 
-    def __init__(self, ranks: dict[bytes, int], most: int = 500_000):
+    def __init__(self, ranks: dict[bytes, int], most: int = 200_000):
         super().__init__()
         self.ranks, self.most = ranks, most
         self.words = [b""] * (max(ranks.values()) + 1)

@@ -30,7 +30,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .cells import groups
-from .common import pack, store, unpack
+from .common import pack, release, store, unpack
 
 LENGTH, GRAM = 50, 22
 WIDTH = LENGTH - GRAM + 1  # k-grams in a string
@@ -84,7 +84,7 @@ def anchors(data: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]
     return at, h[at] >> np.uint64(64 - BITS)
 
 
-def slices(batches, most: int = 3_000_000) -> Iterator[tuple[list, list, list[bytes]]]:
+def slices(batches, most: int = 1_000_000) -> Iterator[tuple[list, list, list[bytes]]]:
     """(ids, tids, texts as bytes) of batches, about ``most`` bytes at a time."""
     for b in batches:
         docs, tids, texts, n = [], [], [], 0
@@ -98,6 +98,7 @@ def slices(batches, most: int = 3_000_000) -> Iterator[tuple[list, list, list[by
                 docs, tids, texts, n = [], [], [], 0
         if docs:
             yield docs, tids, texts
+    release()
 
 
 def meeting_places(texts: DataFrame, parts: int) -> DataFrame:
@@ -153,7 +154,7 @@ def meeting_places(texts: DataFrame, parts: int) -> DataFrame:
             names[0].extend(docs)
             names[1].extend(tids)
             n += len(at)
-            if n > 1_200_000:
+            if n > 400_000:
                 yield flush()
                 n, run = 0, run + 1
         if n:
@@ -403,8 +404,8 @@ def removed(texts: DataFrame, places: DataFrame, parts: int, crowd: int) -> Data
 
         for b in batches:
             cols = [b.column(c).to_pylist() for c in ("doc", "tid", "text", "at")]
-            for lo in range(0, len(cols[0]), 200):
-                docs, tids, raw, at = ([*c[lo : lo + 200]] for c in cols)
+            for lo in range(0, len(cols[0]), 50):
+                docs, tids, raw, at = ([*c[lo : lo + 50]] for c in cols)
                 raw = [t.encode() for t in raw]
                 ends = np.cumsum([len(t) for t in raw])
                 who = np.repeat(np.arange(len(at)), [len(x) for x in at])
@@ -413,7 +414,7 @@ def removed(texts: DataFrame, places: DataFrame, parts: int, crowd: int) -> Data
                     keys = keys_of(np.frombuffer(b"".join(raw), np.uint8), ends, who, place + np.concatenate([[0], ends])[who])
                     held.append((keys, np.array(docs)[who], np.array(tids)[who], place))
                     n += len(place)
-                if n > 300_000:
+                if n > 120_000:
                     yield flush()
                     n, run = 0, run + 1
         if n:
