@@ -19,7 +19,7 @@ import numpy as np
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .cells import compare, deal
+from .cells import compare, deal, groups
 from .common import components, store
 from .vectors import matrix, unit, usable
 
@@ -99,6 +99,63 @@ def refine(lists: DataFrame, nodes: DataFrame, floor: float) -> DataFrame:
     return pivots.mapInArrow(run, "a long, b long, cos double").where("a <> b")
 
 
+def crossings(lists: DataFrame, classes: DataFrame, nodes: DataFrame, threshold: float, most: int, block: int) -> DataFrame:
+    """(a, b): a link between each two chunks of saturated nodes that have one and lie in different components.
+
+    A link is missing from both lists only where both are saturated, so saturated nodes are compared exactly across
+    components. Each component's are dealt over chunks; chunks meet where the angle between their centres leaves room
+    for a link, by their radii."""
+    full = lists.where(F.col("cos") >= threshold).groupBy(F.col("a").alias("id")).agg(F.count("*").alias("n")).where(F.col("n") >= most)
+    full = full.select("id").join(classes, "id")
+    sizes = full.groupBy("component").agg(F.count("*").alias("size"))
+    chunk = F.pmod(F.xxhash64("id", F.lit(block)), F.ceil(F.col("size") / F.lit(block)).cast("int")).cast("int")
+    members = full.join(sizes, "component").withColumn("k", chunk).join(nodes.select(F.col("node").alias("id"), "vector"), "id")
+    members = store(members.select("component", "k", "id", "vector"), "saturated")
+    room = float(np.arccos(threshold)) + 1e-6
+
+    def balls(batches):
+        import pyarrow as pa
+
+        for (component, k), t in groups(batches, ["component", "k"]):
+            x = unit(matrix(t.column("vector")))
+            mid = x.sum(0)
+            mid = mid / np.linalg.norm(mid) if np.linalg.norm(mid) > 1e-9 else x[0]
+            yield pa.RecordBatch.from_pylist([{"component": int(component), "k": int(k), "centre": mid.tolist(), "radius": float(np.arccos(np.clip(x @ mid, -1, 1)).max())}])
+
+    keys = ["component", "k"]
+    around = members.repartition(*keys).sortWithinPartitions(*keys).mapInArrow(balls, "component long, k long, centre array<double>, radius double")
+    around = store(around.withColumn("ball", F.monotonically_increasing_id()), "balls")
+    many = around.count()
+
+    def close(batches):
+        import pyarrow as pa
+
+        for (i, j), t in groups(batches, ["i", "j"]):
+            ids, own, k, r = (t.column(c).to_numpy() for c in ("ball", "component", "k", "radius"))
+            left, right, x = np.flatnonzero(k == i), np.flatnonzero(k == j), unit(matrix(t.column("centre")))
+            near = np.arccos(np.clip(x[left] @ x[right].T, -1, 1)) <= r[left][:, None] + r[right] + room
+            near &= own[left][:, None] != own[right]
+            a, b = np.nonzero(near if i != j else np.triu(near, 1))
+            yield pa.RecordBatch.from_arrays([pa.array(ids[left[a]]), pa.array(ids[right[b]])], ["x", "y"])
+
+    cells = deal(around.drop("k").withColumn("size", F.lit(many)), "", "size", "ball", 2048)
+    pairs = cells.repartition("i", "j").sortWithinPartitions("i", "j").mapInArrow(close, "x long, y long")
+    pairs = store(pairs.withColumn("pair", F.monotonically_increasing_id()), "meetings")
+    sides = pairs.select("pair", F.explode(F.array(F.struct(F.col("x").alias("ball"), F.lit(0).alias("side")), F.struct(F.col("y").alias("ball"), F.lit(1).alias("side")))).alias("s"))
+    sides = sides.select("pair", "s.ball", "s.side").join(around.select("ball", "component", "k"), "ball").join(members, ["component", "k"])
+
+    def meet(batches):
+        import pyarrow as pa
+
+        for _, t in groups(batches, ["pair"]):
+            side, ids, x = t.column("side").to_numpy(), t.column("id").to_numpy(), unit(matrix(t.column("vector")))
+            hit = np.argwhere(x[side == 0] @ x[side == 1].T >= threshold)
+            if len(hit):
+                yield pa.RecordBatch.from_arrays([pa.array(ids[side == 0][hit[:1, 0]]), pa.array(ids[side == 1][hit[:1, 1]])], ["a", "b"])
+
+    return store(sides.select("pair", "side", "id", "vector").repartition("pair").sortWithinPartitions("pair").mapInArrow(meet, "a long, b long"), "crossings")
+
+
 def audit(nodes: DataFrame, classes: DataFrame, threshold: float, audited: int, block: int = 4096) -> tuple[float, DataFrame]:
     """Share of the true links of at most ``audited`` nodes that lie within a component, and those links."""
     probe = nodes.orderBy(F.xxhash64("node", F.lit(3)), "node").limit(audited).select("node", "vector").collect()  # bounded
@@ -142,8 +199,13 @@ def near_duplicates(table: DataFrame, threshold: float = 0.9, key: str = "vec_id
                 lists = new
                 if fresh <= settled * max(size, 1):
                     break
-            links = lists.where((F.col("cos") >= threshold) & (F.col("a") < F.col("b"))).select("a", "b")
+            # a list that is cut may have lost a link that the other node's list still has
+            links = lists.where(F.col("cos") >= threshold).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
             classes = store(components(links, "linked"), "classes")
+            across = crossings(lists, classes, nodes, threshold, most, block)
+            if not across.isEmpty():
+                links = links.unionByName(across)
+                classes = store(components(links, "linked"), "classes")
             share, true = audit(nodes, classes, threshold, audited)
             if share >= recall:
                 break

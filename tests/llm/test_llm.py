@@ -192,6 +192,33 @@ def test_near_duplicates_match_brute_force(spark, vectors):
     assert neardup.near_duplicates(df.limit(0)).count() == 0
 
 
+def neardup_brute(x, threshold=0.9):
+    """(links, component) of each row by all pairs."""
+    u = x / np.linalg.norm(x, axis=1, keepdims=True)
+    hit = u @ u.T >= threshold
+    label = np.arange(len(x))
+    while (new := np.where(hit, label, len(x)).min(1)).tolist() != label.tolist():
+        label = new
+    return (hit.sum(1) - 1).tolist(), label.tolist()
+
+
+def test_near_duplicates_keep_links_that_saturated_lists_cut(spark):
+    rng = np.random.default_rng(5)
+    axes = np.linalg.qr(rng.standard_normal((64, 64)))[0]
+
+    def tight(centre, n):
+        return centre + 0.004 * rng.standard_normal((n, 64))
+
+    def tilted(a, b, cos):
+        return cos * a + np.sqrt(1 - cos * cos) * b
+
+    # a later row beside a tight group, two tight groups that are linked to each other, and one that is linked to none
+    x = np.concatenate([tight(axes[0], 100), tilted(axes[0], axes[1], 0.92)[None], tight(axes[2], 70), tight(tilted(axes[2], axes[3], 0.905), 70), tight(axes[4], 60)])
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<double>")
+    got = {r.vec_id: (r.n_links, r.component_id) for r in neardup.near_duplicates(df, block=32, audited=1, attempts=1).collect()}
+    assert [got[i] for i in range(len(x))] == list(zip(*neardup_brute(x), strict=True))
+
+
 def test_forest_recall_and_edges(spark, vectors):
     df, x = vectors
     u = x / np.linalg.norm(x, axis=1, keepdims=True)
