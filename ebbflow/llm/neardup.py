@@ -4,9 +4,11 @@ Equal vectors are one node with a weight. Neighbour lists start from several sor
 against those next to it) and are refined by joining neighbours of neighbours: the members of a list are compared with
 one another at their pivot, and every node keeps its best. A list that is saturated - all its entries reach the
 threshold - is enlarged, as far as the whole component of threshold links around it: components are scanned in cells of
-bounded size, so that every link within them is found and counted, and none is returned as a pair. The recall of links
-is audited on a bounded set of nodes held against all vectors; while it is below the target, another start is made with
-new projections and the lists are merged.
+bounded size, so that every link within them is found and counted, and none is returned as a pair. Lists hold the best
+whatever their cosine, and the number of orders grows with the rows, so that two vectors at the threshold with nothing
+else near them meet with the chance of the target. The recall of nodes is audited, by size of component and number of
+links, on drawn nodes held against all vectors; while it is below the target, another start is made with new projections
+and the lists are merged, and the run fails if it stays below.
 
 Defined results: vectors that are null, empty, zero or not finite link with nothing, as do vectors of another length;
 repeated rows (or ids) are rows of their own that link with one another; a null id gets a row; extra columns are not
@@ -24,8 +26,23 @@ from .common import components, store
 from .vectors import matrix, unit, usable
 
 
-def starts(nodes: DataFrame, dims: int, trees: int, window: int, floor: float, seed: int) -> DataFrame:
-    """(a, b, cos): each vector against the ``window`` after it in each of ``trees`` sorted orders of sign codes."""
+def orders(n: int, threshold: float, window: int, recall: float) -> int:
+    """How many sorted orders bring two vectors at the threshold within ``window`` places with a chance of ``recall``,
+    with nothing else near them: a bit is shared with the chance 1 - angle / pi, and log2(n / window) bits are needed."""
+    chance = (1 - np.arccos(threshold) / np.pi) ** np.log2(max(n / window, 1))
+    return int(np.ceil(np.log(1 / (1 - recall)) / chance))
+
+
+def kept(cos: np.ndarray, each: int, threshold: float) -> np.ndarray:
+    """The ``each`` best of a row, whatever they are, and all that reach the threshold; -2 is none."""
+    if cos.shape[1] <= each:
+        return cos > -2
+    least = np.partition(cos, -each, axis=1)[:, -each]
+    return (cos > -2) & (cos >= np.minimum(least, threshold)[:, None])
+
+
+def starts(nodes: DataFrame, dims: int, trees: int, window: int, each: int, threshold: float, seed: int) -> DataFrame:
+    """(a, b, cos): each vector's best among the ``window`` on either side in each of ``trees`` sorted orders of sign codes."""
 
     def codes(batches):
         import pyarrow as pa
@@ -51,16 +68,15 @@ def starts(nodes: DataFrame, dims: int, trees: int, window: int, floor: float, s
             t, ids, x = b.column("tree").to_numpy(), b.column("node").to_numpy(), unit(matrix(b.column("vector")))
             if held is not None:
                 t, ids, x = np.concatenate([held[0], t]), np.concatenate([held[1], ids]), np.concatenate([held[2], x])
-            old = 0 if held is None else len(held[0])
-            out = []
-            for o in range(1, min(window, len(ids) - 1) + 1):
-                lo = max(0, old - o)  # pairs that end in this batch
-                cos = (x[lo : len(x) - o] * x[lo + o :]).sum(1)
-                at = np.flatnonzero((cos >= floor) & (t[lo : len(x) - o] == t[lo + o :])) + lo
-                out.append((ids[at], ids[at + o], cos[at - lo]))
+            n, w = len(ids), min(window, len(ids) - 1)
+            cos = np.full((n, 2 * w), -2.0)  # with the w behind, then the w before
+            for o in range(1, w + 1):
+                near = np.where(t[:-o] == t[o:], (x[:-o] * x[o:]).sum(1), -2.0)
+                cos[:-o, o - 1] = cos[o:, w + o - 1] = near
             held = t[-window:], ids[-window:], x[-window:]
-            if out:
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in zip(*out, strict=True)], ["a", "b", "cos"])
+            if w:
+                r, c = np.nonzero(kept(cos, each, threshold))
+                yield pa.RecordBatch.from_arrays([pa.array(ids[r]), pa.array(ids[np.where(c < w, r + c + 1, r - (c - w) - 1)]), pa.array(cos[r, c])], ["a", "b", "cos"])
 
     return sorted_.mapInArrow(sweep, "a long, b long, cos double")
 
@@ -72,7 +88,7 @@ def best(pairs: DataFrame, k: int, threshold: float, most: int) -> DataFrame:
     return both.withColumn("place", place).where((F.col("place") <= k) | (F.col("place") <= most) & (F.col("cos") >= threshold)).drop("place")
 
 
-def refine(lists: DataFrame, nodes: DataFrame, floor: float) -> DataFrame:
+def refine(lists: DataFrame, nodes: DataFrame, each: int, threshold: float) -> DataFrame:
     """(a, b, cos) between the neighbours of each node."""
     with_vectors = lists.join(nodes.select(F.col("node").alias("b"), "vector"), "b")
     pivots = with_vectors.groupBy("a").agg(F.collect_list(F.struct("b", "vector")).alias("near"))  # a list's length at most
@@ -85,16 +101,20 @@ def refine(lists: DataFrame, nodes: DataFrame, floor: float) -> DataFrame:
             flat = b.column("vectors").flatten()
             x = unit(matrix(flat)) if len(flat) else np.zeros((0, 1))
             ids, at = b.column("ids").flatten().to_numpy(), 0
-            found: dict[tuple[int, int], float] = {}
+            out = []
             for n in np.diff(b.column("ids").offsets.to_numpy()).tolist():
                 own, y = ids[at : at + n], x[at : at + n]
                 at += n
                 cos = y @ y.T
-                for i, j in np.argwhere(np.triu(cos >= floor, 1)).tolist():
-                    p, q = int(own[i]), int(own[j])
-                    found[(p, q) if p < q else (q, p)] = float(cos[i, j])
-            if found:
-                yield pa.RecordBatch.from_arrays([pa.array([k[0] for k in found], pa.int64()), pa.array([k[1] for k in found], pa.int64()), pa.array(list(found.values()), pa.float64())], ["a", "b", "cos"])
+                np.fill_diagonal(cos, -2)
+                i, j = np.nonzero(kept(cos, each, threshold))
+                out.append((np.minimum(own[i], own[j]), np.maximum(own[i], own[j]), cos[i, j]))
+            if out:
+                p, q, cos = (np.concatenate(c) for c in zip(*out, strict=True))
+                order = np.lexsort((q, p))
+                p, q, cos = p[order], q[order], cos[order]
+                new = np.concatenate([[True], (p[1:] != p[:-1]) | (q[1:] != q[:-1])])[: len(p)]
+                yield pa.RecordBatch.from_arrays([pa.array(p[new]), pa.array(q[new]), pa.array(cos[new])], ["a", "b", "cos"])
 
     return pivots.mapInArrow(run, "a long, b long, cos double").where("a <> b")
 
@@ -156,29 +176,66 @@ def crossings(lists: DataFrame, classes: DataFrame, nodes: DataFrame, threshold:
     return store(sides.select("pair", "side", "id", "vector").repartition("pair").sortWithinPartitions("pair").mapInArrow(meet, "a long, b long"), "crossings")
 
 
-def audit(nodes: DataFrame, classes: DataFrame, threshold: float, audited: int, block: int = 4096) -> tuple[float, DataFrame]:
-    """Share of the true links of at most ``audited`` nodes that lie within a component, and those links."""
-    probe = nodes.orderBy(F.xxhash64("node", F.lit(3)), "node").limit(audited).select("node", "vector").collect()  # bounded
-    ids, x = np.array([r.node for r in probe]), unit(np.array([r.vector for r in probe], float))
+#: Probes are drawn by size of component, and recall is told by number of true links: up to each of these, and above.
+SIZES = (1, 3, 48)
+
+
+def audit(nodes: DataFrame, classes: DataFrame, threshold: float, audited: int, seed: int, block: int = 4096) -> tuple[float, DataFrame]:
+    """The recall of nodes (a node's share of true links within its component) and links that are missing.
+
+    At least ``audited`` nodes, and the square root of all, are drawn from each range of component sizes and held
+    against all vectors. The recall is the least of those over nodes with few, some and many true links, each node
+    weighted by what it stands for."""
+    sizes = classes.groupBy("component").agg(F.count("*").alias("size"))
+    own = nodes.select("node", "vector").join(classes.select(F.col("id").alias("node"), "component"), "node", "left").join(sizes, "component", "left")
+    own = own.select("node", "vector", F.coalesce("component", "node").alias("component"), F.coalesce("size", F.lit(1)).alias("size"))
+    stratum = sum(F.when(F.col("size") > s, 1).otherwise(0) for s in SIZES)
+    own = store(own.select("node", "vector", "component", stratum.alias("stratum")), "audited")
+    many = {r.stratum: r.n for r in own.groupBy("stratum").agg(F.count("*").alias("n")).collect()}
+    probe, weight = [], []
+    for s, n in many.items():
+        drawn = own.where(F.col("stratum") == s).orderBy(F.xxhash64("node", F.lit(seed)), "node").limit(max(audited, int(sum(many.values()) ** 0.5))).select("node", "vector", "component").collect()  # bounded
+        probe += drawn
+        weight += [n / len(drawn)] * len(drawn)
+    if not probe:
+        return 1.0, nodes.sparkSession.createDataFrame([], "a long, b long")
+    ids, x, home = np.array([r.node for r in probe]), unit(np.array([r.vector for r in probe], float)), np.array([r.component for r in probe])
 
     def run(batches):
         import pyarrow as pa
 
+        n, hit = np.zeros(len(ids), np.int64), np.zeros(len(ids), np.int64)
+        lost: set[tuple[int, int]] = set()  # one link for a probe and a component
         for b in batches:
-            own = b.column("node").to_numpy()
-            y = unit(matrix(b.column("vector")))
-            for s in range(0, len(own), block):
+            node, at, y = b.column("node").to_numpy(), b.column("component").to_numpy(), unit(matrix(b.column("vector")))
+            out = []
+            for s in range(0, len(node), block):
                 r, c = np.nonzero(x @ y[s : s + block].T >= threshold)
-                keep = ids[r] != own[c + s]
-                yield pa.RecordBatch.from_arrays([pa.array(ids[r[keep]]), pa.array(own[c[keep] + s])], ["a", "b"])
-
-    true = store(nodes.select("node", "vector").mapInArrow(run, "a long, b long"), "audit")
-    left, right = classes.withColumnsRenamed({"id": "a", "component": "ca"}), classes.withColumnsRenamed({"id": "b", "component": "cb"})
-    n, hit = true.join(left, "a", "left").join(right, "b", "left").agg(F.count("*"), F.count(F.when(F.col("ca") == F.col("cb"), 1))).first()
-    return (hit / n if n else 1.0), true
-
-
-def near_duplicates(table: DataFrame, threshold: float = 0.9, key: str = "vec_id", vector: str = "embedding", k: int = 12, most: int = 48, trees: int = 16, window: int = 12, floor: float = 0.6, rounds: int = 4, settled: float = 0.005, recall: float = 0.995, audited: int = 256, attempts: int = 3, block: int = 512) -> DataFrame:
+                c += s
+                r, c = r[ids[r] != node[c]], c[ids[r] != node[c]]
+                same = home[r] == at[c]
+                n += np.bincount(r, minlength=len(ids))
+                hit += np.bincount(r[same], minlength=len(ids))
+                for p, q in zip(r[~same].tolist(), c[~same].tolist(), strict=True):
+                    if (p, int(at[q])) not in lost:
+                        lost.add((p, int(at[q])))
+                        out.append((p, int(node[q])))
+            yield pa.RecordBatch.from_arrays([pa.array([o[0] for o in out], pa.int64()), pa.array([o[1] for o in out], pa.int64()), pa.nulls(len(out), pa.int64()), pa.nulls(len(out), pa.int64())], ["p", "b", "n", "hit"])
+        some = np.flatnonzero(n)
+        yield pa.RecordBatch.from_arrays([pa.array(some, pa.int64()), pa.nulls(len(some), pa.int64()), pa.array(n[some]), pa.array(hit[some])], ["p", "b", "n", "hit"])
+
+    told = store(own.select("node", "component", "vector").mapInArrow(run, "p long, b long, n long, hit long"), "audit")
+    counts = told.where("b is null").groupBy("p").agg(F.sum("n").alias("n"), F.sum("hit").alias("hit")).collect()  # one row for a probe
+    least = 1.0
+    for lo, hi in zip((0, *SIZES[1:]), (*SIZES[1:], float("inf")), strict=True):
+        rows = [(weight[r.p], r.hit / r.n) for r in counts if lo < r.n <= hi]
+        if rows:
+            least = min(least, sum(w * h for w, h in rows) / sum(w for w, _ in rows))
+    names = nodes.sparkSession.createDataFrame([(i, int(v)) for i, v in enumerate(ids)], "p long, a long")
+    return least, store(told.where("b is not null").join(F.broadcast(names), "p").select("a", "b").distinct(), "lost")
+
+
+def near_duplicates(table: DataFrame, threshold: float = 0.9, key: str = "vec_id", vector: str = "embedding", k: int = 12, most: int = 48, trees: int = 16, window: int = 12, each: int = 4, rounds: int = 4, settled: float = 0.005, recall: float = 0.995, audited: int = 256, attempts: int = 8, block: int = 512) -> DataFrame:
     """(key, n_links, component_id, kept) of every row of ``table``."""
     rows = store(table.select(F.col(key).cast("long").alias("key"), F.col(vector).alias("vector")).withColumn("row", F.monotonically_increasing_id()), "vectors")
     fine = usable(rows, "vector")
@@ -187,13 +244,16 @@ def near_duplicates(table: DataFrame, threshold: float = 0.9, key: str = "vec_id
     out = None
     for (dims,) in all_nodes.select(F.size("vector")).distinct().collect():  # one, unless lengths differ
         nodes = all_nodes.where(F.size("vector") == dims)
-        lists = None
+        lists, seed, missing = None, 100, None
+        batches = -(-orders(nodes.count(), threshold, window, recall) // trees)
         for attempt in range(attempts):
-            found = starts(nodes, dims, trees, window, floor, 100 + attempt)
-            lists = store(best(found if lists is None else found.unionByName(lists), k, threshold, most), "lists")
+            for _ in range(batches):
+                found = starts(nodes, dims, trees, window, each, threshold, seed)
+                lists = store(best(found if lists is None else found.unionByName(lists), k, threshold, most), "lists")
+                seed += 1
             size = lists.count()
             for _ in range(rounds):
-                more = refine(lists, nodes, floor)
+                more = refine(lists, nodes, each, threshold)
                 new = store(best(more.unionByName(lists), k, threshold, most), "lists")
                 fresh = new.join(lists, ["a", "b"], "left_anti").count()
                 lists = new
@@ -206,12 +266,13 @@ def near_duplicates(table: DataFrame, threshold: float = 0.9, key: str = "vec_id
             if not across.isEmpty():
                 links = links.unionByName(across)
                 classes = store(components(links, "linked"), "classes")
-            share, true = audit(nodes, classes, threshold, audited)
+            share, lost = audit(nodes, classes, threshold, audited, attempt)
+            missing = lost if missing is None else missing.unionByName(lost)  # what the audits found is kept
             if share >= recall:
                 break
-            lists = lists.unionByName(true.withColumn("cos", F.lit(threshold)))  # what the audit found is kept
-        if share < 1:  # the audit's links count too
-            classes = store(components(links.unionByName(true), "linked"), "classes")
+        else:
+            raise RuntimeError(f"op1: recall of nodes is {share:.4f} after {attempts} attempts, below {recall}")
+        classes = store(components(links.unionByName(missing), "linked"), "classes")
         sizes = classes.groupBy("component").agg(F.count("*").alias("size"))
         members = classes.join(sizes, "component").join(nodes.select(F.col("node").alias("id"), "weight", "vector"), "id")
 

@@ -219,6 +219,18 @@ def test_near_duplicates_keep_links_that_saturated_lists_cut(spark):
     assert [got[i] for i in range(len(x))] == list(zip(*neardup_brute(x), strict=True))
 
 
+def test_near_duplicates_find_isolated_pairs_beside_a_large_group(spark):
+    rng = np.random.default_rng(6)
+    one, other = (v / np.linalg.norm(v, axis=1, keepdims=True) for v in rng.standard_normal((2, 500, 64)))
+    other -= (one * other).sum(1, keepdims=True) * one
+    other /= np.linalg.norm(other, axis=1, keepdims=True)
+    group = rng.standard_normal(64) + 0.02 * rng.standard_normal((700, 64))
+    x = np.concatenate([group, one, 0.905 * one + np.sqrt(1 - 0.905**2) * other, rng.standard_normal((1000, 64))])
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<double>")
+    got = {r.vec_id: r.component_id for r in neardup.near_duplicates(df, trees=4, window=2, rounds=1).collect()}
+    assert sum(got[700 + i] == got[1200 + i] for i in range(500)) >= 0.98 * 500 and {got[i] for i in range(700)} == {0}
+
+
 def test_forest_recall_and_edges(spark, vectors):
     df, x = vectors
     u = x / np.linalg.norm(x, axis=1, keepdims=True)
