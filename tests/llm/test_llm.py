@@ -63,6 +63,16 @@ def test_pii_terms_that_reveal_go(spark, edge, none):
     assert pii.sanitise(edge).columns == edge.columns and pii.sanitise(edge).count() == len(EDGE)
 
 
+def test_pii_terms_go_wherever_they_stand(spark):
+    far = " ".join(f"filler{i}" for i in range(20))
+    rows = [(i, f"case {i} of bob@x.org {i * 7} {far} zorblax then zorblax again") for i in range(6)] + [(50, "zorblax without the value")] + [(100 + i, f"plain text {i} {far}") for i in range(300)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    out = {r.doc_id: r.text for r in pii.sanitise(docs).collect()}
+    assert not any("zorblax" in t for t in out.values()) and all(out[d] == t for d, t in rows[7:])
+    n = {r.doc_id: r.n_term for r in pii.digest(pii.scan(docs)).collect()}
+    assert n[50] == 1 and n[0] >= 2 and n[100] == 0
+
+
 def test_toxicity_held_out_accuracy(spark, edge, none):
     rng = random.Random(9)
     words = ["".join(rng.choice("abcdefgh") for _ in range(5)) for _ in range(200)]
