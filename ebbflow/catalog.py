@@ -191,11 +191,15 @@ def forward_oo_return(s, d):
     return out(panel.forward_return(tables.dense(_bars(s, d)), 3), ["ticker", "bar_idx"], ["fwd"])
 
 
-@query(final(BARS, """SELECT x.bar_idx, x.ticker AS a, y.ticker AS b, round(corr, 6) AS corr FROM (
+#: The pairs of the first twelve tickers alone: a test holds these rows of ``rolling_corr`` against it.
+ROLLING_CORR_12 = final(BARS, """SELECT x.bar_idx, x.ticker AS a, y.ticker AS b, round(corr, 6) AS corr FROM (
 SELECT *, corr(x.r0, y.r0) OVER w AS corr, count(*) OVER w AS n FROM (SELECT bar_idx, ticker, coalesce(r, 0) AS r0 FROM rets WHERE ticker <= 12) x JOIN (SELECT bar_idx, ticker, coalesce(r, 0) AS r0 FROM rets WHERE ticker <= 12) y ON x.bar_idx = y.bar_idx AND x.ticker < y.ticker
-WINDOW w AS (PARTITION BY x.ticker, y.ticker ORDER BY x.bar_idx RANGE BETWEEN 12 PRECEDING AND 1 PRECEDING)) WHERE n = 12""".replace("SELECT x.bar_idx, x.ticker AS a, y.ticker AS b, round(corr, 6) AS corr FROM (\nSELECT *, ", "SELECT bar_idx, a, b, round(corr, 6) AS corr FROM (\nSELECT x.bar_idx AS bar_idx, x.ticker AS a, y.ticker AS b, ")))
+WINDOW w AS (PARTITION BY x.ticker, y.ticker ORDER BY x.bar_idx RANGE BETWEEN 12 PRECEDING AND 1 PRECEDING)) WHERE n = 12""".replace("SELECT x.bar_idx, x.ticker AS a, y.ticker AS b, round(corr, 6) AS corr FROM (\nSELECT *, ", "SELECT bar_idx, a, b, round(corr, 6) AS corr FROM (\nSELECT x.bar_idx AS bar_idx, x.ticker AS a, y.ticker AS b, "))
+
+
+@query()
 def rolling_corr(s, d):
-    rets = _rets(s, d).where("ticker <= 12")  # the twelve nodes of the question
+    rets = _rets(s, d)
     a, b = (rets.select(F.col("ticker").alias(c)).distinct() for c in "ab")
     return out(panel.rolling_corr(rets, a.join(b, F.col("a") < F.col("b")), 12), ["bar_idx", "a", "b"], ["corr"])
 

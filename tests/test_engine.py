@@ -3,7 +3,7 @@ import math
 import pytest
 from pyspark.sql import functions as F
 
-from ebbflow import params
+from ebbflow import catalog, params
 from ebbflow.operators import flux, graph, holdings, panel, sessions, stats, walkforward
 from ebbflow.sources import lake, tables
 
@@ -45,6 +45,38 @@ def test_returns_skip_gaps(spark):
     assert got[0] is None and math.isclose(got[1], 0.1) and got[3] is None
 
 
+def test_rolling_corr_runs_over_all_pairs(spark, tmp_path):
+    rng = np.random.default_rng(8)
+    rows = [(b, t, t + 1, 1 + b % 3, 5.0, 5.0 * float(rng.uniform(10, 20)), f"{1995 + b // 12}-{b % 12 + 1:02d}-03") for b in range(20) for t in range(1, 16) if t != 14 or b != 6]
+    li = spark.createDataFrame(rows, "l_orderkey long, l_suppkey long, l_partkey long, l_linenumber int, l_quantity double, l_extendedprice double, d string")
+    li.withColumn("l_shipdate", F.to_timestamp_ntz("d")).drop("d").write.parquet(f"{tmp_path}/lineitem.parquet")
+    r = {}
+    for b, t, _, _, q, x, _ in rows:
+        r[b, t] = x / q
+    r = {(b, t): c / r[b - 1, t] - 1 if (b - 1, t) in r else 0.0 for (b, t), c in r.items()}
+    want = {}
+    for a in range(1, 16):
+        for b in range(a + 1, 16):
+            for bar in range(20):
+                past = [k for k in range(bar - 12, bar) if (k, a) in r and (k, b) in r]
+                if len(past) == 12 and (bar, a) in r and (bar, b) in r:
+                    want[bar, a, b] = np.corrcoef([r[k, a] for k in past], [r[k, b] for k in past])[0, 1]
+    got = {(x.bar_idx, x.a, x.b): x.corr for x in catalog.rolling_corr(spark, str(tmp_path)).collect()}
+    assert got.keys() == want.keys() and max(b for _, _, b in got) == 15
+    assert all(math.isclose(got[k], want[k], abs_tol=2e-6) for k in want)
+
+
+def test_rolling_corr_of_the_first_twelve_matches_sql(spark):
+    import duckdb
+
+    sf = "/root/testdata/sf0.001"
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW lineitem AS SELECT * FROM '{sf}/lineitem.parquet'")
+    want = {(b, x, y): c for b, x, y, c in con.execute(catalog.ROLLING_CORR_12).fetchall()}
+    got = {(x.bar_idx, x.a, x.b): x.corr for x in catalog.rolling_corr(spark, sf).where("b <= 12").collect()}
+    assert got.keys() == want.keys() and all(got[k] == want[k] or math.isclose(got[k], want[k], abs_tol=2e-6) for k in want)
+
+
 def test_flux_conserves_what_is_sold(spark):
     p = spark.createDataFrame([(0, 1, -3.0), (0, 2, -1.0), (0, 3, 4.0), (0, 4, 1.0), (1, 1, 0.0)], "bar_idx int, ticker long, p double")
     out = flux.bar_flux(p).groupBy("src").agg(F.sum("w").alias("w")).collect()
