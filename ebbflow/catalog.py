@@ -220,7 +220,7 @@ def bar_flux(s, d):
 
 @query()
 def bar_flux_tilted(s, d):
-    return out(flux.tilted_flux(_p(s, d), _rets(s, d), 12, 1.0), ["bar_idx", "src", "dst"], ["w"], 4)
+    return out(flux.tilted_flux(_p(s, d), _rets(s, d), 12, 1.0, warmup=0), ["bar_idx", "src", "dst"], ["w"], 4)
 
 
 @query(final(FLUX, f"SELECT bar_idx, ticker, {r('outflow, inflow', 4)} FROM mar"))

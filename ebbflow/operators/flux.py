@@ -27,17 +27,23 @@ def margins(p: DataFrame) -> DataFrame:
     return rows.select("bar_idx", "ticker", F.when(F.col("p") < 0, -F.col("p")).otherwise(0.0).alias("outflow"), F.when(F.col("p") > 0, F.col("p") * F.col("sell") / F.col("buy")).otherwise(0.0).alias("inflow"))
 
 
-def tilted_flux(p: DataFrame, rets: DataFrame, window: int, tilt: float, sinks: int = 256, row_edges: int = 64) -> DataFrame:
+def tilted_flux(p: DataFrame, rets: DataFrame, window: int, tilt: float, sinks: int = 256, row_edges: int = 64, warmup: int | None = None) -> DataFrame:
     """Flow tilted by the correlation of returns before the bar: |p_i| p_j (1 + tilt rho_ij) / D_i.
 
     D_i = P + tilt * u_i . g with unit vectors u and g = sum p_j u_j, so no pair is formed but with the top sinks. A bar
-    is a group of at most as many rows as there are tickers."""
+    is a group of at most as many rows as there are tickers. A missing return counts as zero, and u is zero with fewer
+    than two panel bars before or no variance, so every pressure takes part. Bars before ``warmup`` (the window, if not
+    given) are left out."""
 
     def one(key, pdf):
         import pandas as pd
 
-        u = np.array(pdf["u"].tolist(), float).reshape(len(pdf), -1)
-        u = u - u.mean(1, keepdims=True)
+        bar, c = int(key[0]), min(int(key[0]), window)
+        u = np.zeros((len(pdf), c))
+        for row, past in zip(u, pdf["past"], strict=True):
+            for x in past:
+                row[x["bar_idx"] - (bar - c)] = x["r"]
+        u = u - u.mean(1, keepdims=True) if c > 1 else np.zeros((len(pdf), 1))
         n = (u * u).sum(1)
         u = np.where((n < 1e-24)[:, None], 0.0, u / np.sqrt(np.maximum(n, 1e-24))[:, None])
         x, who = pdf["p"].to_numpy(), pdf["ticker"].to_numpy()
@@ -56,9 +62,11 @@ def tilted_flux(p: DataFrame, rets: DataFrame, window: int, tilt: float, sinks:
                         out.append((key[0], who[i], who[best[j]], w[j]))
         return pd.DataFrame(out, columns=["bar_idx", "src", "dst", "w"])
 
-    back = Window.partitionBy("ticker").orderBy("bar_idx").rowsBetween(-window, -1)
-    u = rets.withColumn("u", F.collect_list(F.coalesce("r", F.lit(0.0))).over(back)).where(F.size("u") == window).select("bar_idx", "ticker", "u")
-    return p.where("p <> 0").select("bar_idx", "ticker", "p").join(u, ["bar_idx", "ticker"]).groupBy("bar_idx").applyInPandas(one, "bar_idx int, src long, dst long, w double")
+    back = Window.partitionBy("ticker").orderBy("bar_idx").rangeBetween(-window, -1)
+    known = F.when(F.col("r").isNotNull(), F.struct("bar_idx", "r"))  # a list leaves nulls out
+    rows = rets.select("bar_idx", "ticker", "r").join(p.select("bar_idx", "ticker", "p"), ["bar_idx", "ticker"], "full")
+    rows = rows.withColumn("past", F.collect_list(known).over(back)).where((F.col("p") != 0) & (F.col("bar_idx") >= (window if warmup is None else warmup)))
+    return rows.select("bar_idx", "ticker", "p", "past").groupBy("bar_idx").applyInPandas(one, "bar_idx int, src long, dst long, w double")
 
 
 def accumulate(flux: DataFrame, at: int, half_life: float) -> DataFrame:

@@ -1,5 +1,6 @@
 import math
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -101,6 +102,26 @@ def test_tilt_of_zero_is_the_plain_flux(spark):
     assert tilted.keys() == plain.keys() and all(math.isclose(tilted[k], plain[k], rel_tol=1e-9) for k in plain)
 
 
+def test_tilted_flux_of_sparse_tickers_matches_brute_force(spark):
+    rng = np.random.default_rng(3)
+    r = {(b, t): float(rng.standard_normal() * 0.02) for b in range(9) for t in range(1, 8) if t < 5 or rng.random() < 0.6 and (t != 7 or b > 5)}
+    window, tilt, want = 4, 0.8, {}
+    for bar in range(9):
+        p = {t: r[b, t] * (10 + t) for b, t in r if b == bar}
+        u = {}
+        for t in p:
+            x = np.array([r.get((b, t), 0.0) for b in range(max(0, bar - window), bar)])
+            x = x - x.mean() if len(x) > 1 else np.zeros(1)
+            u[t] = x / np.sqrt(x @ x) if x @ x >= 1e-24 else x * 0
+        for i in (t for t in p if p[t] < 0):
+            score = {j: p[j] * (1 + tilt * u[i] @ u[j]) for j in p if p[j] > 0}
+            want |= {(bar, i, j): -p[i] * w / sum(score.values()) for j, w in score.items() if w > 0 and sum(score.values()) > 0}
+    rets = spark.createDataFrame([(*k, v) for k, v in r.items()], "bar_idx int, ticker long, r double")
+    pressure = rets.select("bar_idx", "ticker", (F.col("r") * (10 + F.col("ticker"))).alias("p"))
+    got = {(x.bar_idx, x.src, x.dst): x.w for x in flux.tilted_flux(pressure, rets, window, tilt, warmup=0).collect()}
+    assert got.keys() == want.keys() and all(math.isclose(got[k], want[k], rel_tol=1e-9) for k in want)
+
+
 def test_causality_of_the_eligible_set(spark):
     rows = [(b, t, 10.0 + t + b, 5.0) for b in range(12) for t in (1, 2, 3)]
     full = spark.createDataFrame(rows, "bar_idx int, ticker long, vw double, v double").withColumn("t", F.col("bar_idx"))
