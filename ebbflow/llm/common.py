@@ -16,9 +16,12 @@ _written: list[tuple[SparkSession, str]] = []
 
 
 def scratch_dir(spark: SparkSession) -> str:
-    """The shared folder of the cluster, from ``spark.checkpoint.dir``; a temporary one only where that is unset."""
+    """The shared folder that ``spark.checkpoint.dir`` names. Where it is unset, a temporary one, in local mode alone: the
+    executors of a cluster would each write to a disk of their own."""
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
+        if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         base = f"file://{tempfile.mkdtemp(prefix='ebbflow-')}"
         spark.conf.set("spark.checkpoint.dir", base)
     return base.rstrip("/")
@@ -60,13 +63,15 @@ def arrow_rows(batches: Iterable, text: str, key: str, most: int = 2_000_000) ->
     """Keys and texts (null: empty) of Arrow batches, in slices of about ``most`` characters."""
     for batch in batches:
         keys, texts, n = [], [], 0
-        for k, t in zip(batch.column(key).to_pylist(), batch.column(text).to_pylist(), strict=True):
-            keys.append(k)
-            texts.append(t or "")
-            n += len(texts[-1])
-            if n >= most:
-                yield keys, texts
-                keys, texts, n = [], [], 0
+        for lo in range(0, batch.num_rows, 256):  # a batch is made Python objects a stretch at a time
+            part = batch.slice(lo, 256)
+            for k, t in zip(part.column(key).to_pylist(), part.column(text).to_pylist(), strict=True):
+                keys.append(k)
+                texts.append(t or "")
+                n += len(texts[-1])
+                if n >= most:
+                    yield keys, texts
+                    keys, texts, n = [], [], 0
         if keys:
             yield keys, texts
     release()

@@ -63,11 +63,24 @@ def gram_hashes(data: np.ndarray) -> np.ndarray:
     return out ^ (out >> np.uint64(32))
 
 
-def anchors(data: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(places, hashes) of the anchors of all strings within texts that end at ``ends``."""
+def anchors(data: np.ndarray, ends: np.ndarray, most: int = 1 << 20) -> tuple[np.ndarray, np.ndarray]:
+    """(places, hashes) of the anchors of all strings within texts that end at ``ends``, ``most`` strings at a time: a
+    place within a stretch fits the low bits beside the hash, however long the text."""
     n = len(data) - LENGTH + 1
     if n <= 0:
         return np.zeros(0, np.int64), np.zeros(0, np.uint64)
+    found = []
+    for lo in range(0, n, most):
+        hi = min(lo + most, n)
+        own = ends[np.searchsorted(ends, lo, side="right") : np.searchsorted(ends, hi + LENGTH, side="left")] - lo
+        at, h = _anchors(data[lo : hi + LENGTH - 1], own)
+        found.append((at + lo, h))
+    at, h = (np.concatenate(c) for c in zip(*found, strict=True))
+    new = np.concatenate([[True], at[1:] != at[:-1]])[: len(at)]
+    return at[new], h[new]
+
+
+def _anchors(data: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     h = gram_hashes(data)
     low = (h & ~np.uint64(0xFFFFFF)) | np.arange(len(h), dtype=np.uint64)  # smallest hash, then first place
     span = 1
@@ -78,7 +91,7 @@ def anchors(data: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]
         low = np.minimum(low[: len(low) - (WIDTH - span)], low[WIDTH - span :])
     inside = np.ones(len(low), bool)
     for e in ends.tolist():  # strings that would cross an end
-        inside[max(0, e - LENGTH + 1) : e] = False
+        inside[max(0, e - LENGTH + 1) : max(0, e)] = False
     at = (low[inside] & np.uint64(0xFFFFFF)).astype(np.int64)
     at = at[np.concatenate([[True], at[1:] != at[:-1]])] if len(at) else at
     return at, h[at] >> np.uint64(64 - BITS)
@@ -88,14 +101,16 @@ def slices(batches, most: int = 1_000_000) -> Iterator[tuple[list, list, list[by
     """(ids, tids, texts as bytes) of batches, about ``most`` bytes at a time."""
     for b in batches:
         docs, tids, texts, n = [], [], [], 0
-        for d, i, t in zip(b.column("doc").to_pylist(), b.column("tid").to_pylist(), b.column("text").to_pylist(), strict=True):
-            docs.append(d)
-            tids.append(i)
-            texts.append(t.encode())
-            n += len(texts[-1])
-            if n >= most:
-                yield docs, tids, texts
-                docs, tids, texts, n = [], [], [], 0
+        for lo in range(0, b.num_rows, 256):
+            part = b.slice(lo, 256)
+            for d, i, t in zip(part.column("doc").to_pylist(), part.column("tid").to_pylist(), part.column("text").to_pylist(), strict=True):
+                docs.append(d)
+                tids.append(i)
+                texts.append(t.encode())
+                n += len(texts[-1])
+                if n >= most:
+                    yield docs, tids, texts
+                    docs, tids, texts, n = [], [], [], 0
         if docs:
             yield docs, tids, texts
     release()
@@ -362,7 +377,7 @@ def whole(key: bytes, at: int) -> tuple[int, int] | None:
     return (at - key[-1], at + key[-2]) if key[-1] + key[-2] >= LENGTH else None
 
 
-def removed(texts: DataFrame, places: DataFrame, parts: int, crowd: int) -> DataFrame:
+def removed(texts: DataFrame, places: DataFrame, splits: np.ndarray, parts: int, crowd: int) -> DataFrame:
     """(doc, tid, a, b): spans of bytes that go, from the suffixes at ``places``."""
     joined = texts.join(places, ["doc", "tid"])
 
@@ -391,8 +406,7 @@ def removed(texts: DataFrame, places: DataFrame, parts: int, crowd: int) -> Data
                     for k, v in zip(rows, (None, None, None, None, docs[i], tids[i], *span), strict=True):
                         rows[k].append(v)
             keys, docs, tids, at = keys[~more], docs[~more], tids[~more], at[~more]
-            lead = keys[:, :4].astype(np.int64) @ np.array([1 << 24, 1 << 16, 1 << 8, 1])
-            part = np.searchsorted(splits, lead, side="right")
+            part = np.searchsorted(splits, np.ascontiguousarray(keys[:, :GRAM]).view(f"S{GRAM}").ravel(), side="right")
             edges = np.searchsorted(part, np.arange(parts + 1))
             for p in range(parts):
                 for q, s in enumerate(range(edges[p], edges[p + 1], 4000)):
@@ -403,24 +417,28 @@ def removed(texts: DataFrame, places: DataFrame, parts: int, crowd: int) -> Data
             return pa.RecordBatch.from_arrays([pa.array(rows[k], t) for k, t in kinds], [k for k, _ in kinds])
 
         for b in batches:
-            cols = [b.column(c).to_pylist() for c in ("doc", "tid", "text", "at")]
-            for lo in range(0, len(cols[0]), 50):
-                docs, tids, raw, at = ([*c[lo : lo + 50]] for c in cols)
+            for lo in range(0, b.num_rows, 50):
+                part = b.slice(lo, 50)
+                docs, tids, raw = (part.column(c).to_pylist() for c in ("doc", "tid", "text"))
                 raw = [t.encode() for t in raw]
                 ends = np.cumsum([len(t) for t in raw])
-                who = np.repeat(np.arange(len(at)), [len(x) for x in at])
-                place = np.concatenate([np.array(x, np.int64) for x in at])
-                if len(place):
-                    keys = keys_of(np.frombuffer(b"".join(raw), np.uint8), ends, who, place + np.concatenate([[0], ends])[who])
-                    held.append((keys, np.array(docs)[who], np.array(tids)[who], place))
+                data = np.frombuffer(b"".join(raw), np.uint8)
+                own = part.column("at")
+                many = np.diff(own.offsets.to_numpy())
+                whose, spot = np.repeat(np.arange(len(many)), many), own.flatten().to_numpy().astype(np.int64)
+                begin = np.concatenate([[0], ends])
+                docs, tids = np.array(docs, np.int64), np.array(tids, np.int64)
+                for s in range(0, len(spot), 30_000):  # so many keys at a time, however long a text
+                    who, place = whose[s : s + 30_000], spot[s : s + 30_000]
+                    held.append((keys_of(data, ends, who, place + begin[who]), docs[who], tids[who], place))
                     n += len(place)
-                if n > 120_000:
-                    yield flush()
-                    n, run = 0, run + 1
+                    if n > 120_000:
+                        yield flush()
+                        n, run = 0, run + 1
         if n:
             yield flush()
+        release()
 
-    splits = split_points(texts, parts)
     sent = store(joined.mapInArrow(sort, "part int, run long, seq int, block binary, doc long, tid long, a int, b int"), "runs")
 
     def sweep(batches):
@@ -503,28 +521,48 @@ def judge_crowds(crowded: DataFrame) -> DataFrame:
     return each.join(least, ["o", "string"]).where("doc > least").select("doc", "tid", (F.col("a") - F.col("o")).alias("a"), (F.col("a") - F.col("o") + LENGTH).alias("b"))
 
 
-def split_points(texts: DataFrame, parts: int, most: int = 200) -> np.ndarray:
-    """First values (of four bytes) of the ranges 1, 2, ...: quantiles over the anchors of at most ``most`` texts. Only
-    which task does what depends on them, never a result."""
-    raw = [r.text.encode() for r in texts.orderBy("tid").select("text").limit(most).collect()]
-    data = np.frombuffer(b"".join(raw), np.uint8)
-    at, _ = anchors(data, np.cumsum([len(t) for t in raw]))
-    lead = np.sort(sum(data[at + i].astype(np.int64) << (24 - 8 * i) for i in range(4))) if len(at) else np.zeros(1, np.int64)
+def split_points(texts: DataFrame, digests: DataFrame, parts: int, most: int = 400, each: int = 64) -> np.ndarray:
+    """First k-grams of the ranges 1, 2, ...: quantiles over ``each`` anchors of at most ``most`` texts (of those with an
+    anchor, by hash), so at most most * each * GRAM bytes come to the driver. A range never splits a k-gram. Only which
+    task does what depends on them, never a result."""
+    tids = [r.tid for r in digests.where(f"n >= {LENGTH}").select("tid").distinct().orderBy("tid").limit(most).collect()]
+
+    def leads(batches):
+        import pyarrow as pa
+
+        for _, _, raw in slices(batches):
+            own = []
+            for t in raw:
+                data = np.frombuffer(t, np.uint8)
+                at = anchors(data, np.array([len(t)]))[0]
+                at = at[np.unique(np.linspace(0, len(at) - 1, each).astype(int))] if len(at) else at
+                own.append([t[i : i + GRAM] for i in at.tolist()])
+            yield pa.RecordBatch.from_arrays([pa.array(own, pa.list_(pa.binary()))], ["leads"])
+
+    drawn = texts.where(F.col("tid").isin(tids)).select("doc", "tid", "text").dropDuplicates(["tid"]) if tids else texts.limit(0)
+    found = drawn.mapInArrow(leads, "leads array<binary>").collect()  # ``most`` rows at most
+    lead = np.sort(np.array([bytes(x) for r in found for x in r.leads] or [b""], f"S{GRAM}"))
     return lead[(np.arange(1, parts) * len(lead)) // parts]
 
 
-def dedup(docs: DataFrame, text: str = "text", key: str = "doc_id", crowd: int = 20_000) -> DataFrame:
-    """(key, tid, text, starts, ends): every row of ``docs`` with the maximal spans of bytes that go from its text."""
-    parts = max(1, int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+def dedup(docs: DataFrame, text: str = "text", key: str = "doc_id", crowd: int = 20_000, part_bytes: int = 4_000_000, salts: int = 8) -> DataFrame:
+    """(key, tid, text, starts, ends): every row of ``docs`` with the maximal spans of bytes that go from its text.
+
+    Anchors and suffixes meet in as many parts as there are ``part_bytes`` of text; a task holds one part at a time."""
     doc = F.coalesce(F.col(key).cast("long"), F.lit(LAST))
     body = F.coalesce(F.col(text), F.lit(""))
     texts = docs.select(doc.alias("doc"), body.alias("text")).withColumn("tid", F.xxhash64("doc", "text"))
     # whole copies of a text in a smaller document
-    digests = texts.select("doc", "tid", F.md5("text").alias("digest"), F.octet_length("text").alias("n"))
+    digests = store(texts.select("doc", "tid", F.md5("text").alias("digest"), F.octet_length("text").alias("n")), "digests")
+    parts = max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-int(digests.agg(F.sum("n")).first()[0] or 1) // part_bytes))
     first = digests.where(f"n >= {LENGTH}").groupBy("digest").agg(F.min("doc").alias("first"), F.max("doc").alias("last")).where("first < last")
-    copies = store(digests.where(f"n >= {LENGTH}").join(first, "digest").where("doc > first").select("doc", "tid", F.lit(0).alias("a"), F.col("n").cast("int").alias("b")), "copies").dropDuplicates(["doc", "tid"])
-    places = meeting_places(texts.select("doc", "tid", "text"), parts).join(copies.select("doc", "tid"), ["doc", "tid"], "left_anti")
-    spans = removed(texts.select("doc", "tid", "text"), places, parts, crowd).unionByName(copies)
+    # a digest may have a third of all rows: each goes to one of ``salts`` places, where its smallest id is, too
+    first = first.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
+    salted = digests.where(f"n >= {LENGTH}").withColumn("salt", F.pmod(F.xxhash64("tid"), F.lit(salts)).cast("int"))
+    copies = store(salted.join(first, ["digest", "salt"]).where("doc > first").select("doc", "tid", F.lit(0).alias("a"), F.col("n").cast("int").alias("b")), "copies").dropDuplicates(["doc", "tid"])
+    own = texts.select("doc", "tid", "text")
+    places = meeting_places(own, parts).join(copies.select("doc", "tid"), ["doc", "tid"], "left_anti")
+    spans = removed(own, places, split_points(own, digests, parts), parts, crowd).unionByName(copies)
     by_doc = spans.groupBy("doc", "tid").agg(F.array_sort(F.collect_set(F.struct("a", "b"))).alias("spans"))
 
     def settle(batches):
