@@ -6,13 +6,14 @@ above, whose children share it in turn. Each leaf then takes the token-prefix of
 whole epochs first, then the documents of the last epoch whose running token count stays within the rest.
 
 Everything is built of DataFrame operations. The prefix is found without sorting a leaf in one task: the order is the
-hex digest md5(seed:epoch:doc_id), token sums per leading hex digits give the bucket in which the budget ends, level by
-level, and only that bucket is put in order.
+hex digest md5(seed:epoch:doc_id:digest of the text), token sums per leading hex digits give the bucket in which the
+budget ends, level by level, and only that bucket is put in order, by sums over its digests and input partitions first.
 
 Defined results: a null text has no tokens and is taken with its leaf at no cost while the leaf has any budget; null
-domain, language or source is a value of its own; nodes without a weight have weight 1, a weight of 0 gives nothing;
-rows that repeat a doc_id are in the order one after the other by digest of their text; other columns pass through
-``mix``; an empty table gives an empty one.
+domain, language or source is a value of its own; nodes without a weight have weight 1; a weight of 0 anywhere above a
+leaf gives it nothing, and its supply is no part of what its ancestors can take, so that their budget goes to others;
+equal rows (doc_id, text and levels) stand one after the other in the order and are counted and taken row by row; other
+columns, whatever their names, pass through ``mix``; an empty table gives an empty one.
 """
 
 from __future__ import annotations
@@ -52,14 +53,19 @@ def tokens_of(text: str = "text"):
 def budget_leaves(leaves: DataFrame, budget, weights: dict, max_epochs: int) -> DataFrame:
     """``leaves`` (levels, supply) with ``share``, the tokens each may take, level by level from the root.
 
-    Among siblings the share of child i is min(c_i, lambda w_i). Ordered by c_i / w_i, a child is full while
+    A leaf can take its supply ``max_epochs`` times if every weight from the root to it is positive, and nothing
+    otherwise. Among siblings the share of child i is min(c_i, lambda w_i). Ordered by c_i / w_i, a child is full while
     c_i * (weights from it on) <= w_i * (budget - supply before it); lambda spreads what the full ones leave."""
-    caps = leaves.withColumn("cap", F.col("supply") * F.lit(float(max_epochs)))
+    open_ = F.lit(True)
+    for level in LEVELS:
+        open_ = open_ & (weight_of(level, weights) > 0)
+    caps = leaves.withColumn("cap", F.when(open_, F.col("supply") * F.lit(float(max_epochs))).otherwise(0.0))
     top = caps.agg(F.least(budget, F.sum("cap")).alias("share"))
+    caps = caps.where("cap > 0")
     shares = top
     for depth, level in enumerate(LEVELS):
         above = list(LEVELS[:depth])
-        nodes = caps.groupBy(*LEVELS[: depth + 1]).agg(F.sum("cap").alias("c")).withColumn("w", weight_of(level, weights)).where("w > 0")
+        nodes = caps.groupBy(*LEVELS[: depth + 1]).agg(F.sum("cap").alias("c")).withColumn("w", weight_of(level, weights))
         nodes = nodes.join(shares, above) if above else nodes.crossJoin(shares)  # one row: the root
         by = Window.partitionBy(*above).orderBy(F.col("c") / F.col("w"), level)
         before, onward = by.rowsBetween(Window.unboundedPreceding, -1), by.rowsBetween(Window.currentRow, Window.unboundedFollowing)
@@ -72,26 +78,22 @@ def budget_leaves(leaves: DataFrame, budget, weights: dict, max_epochs: int) ->
     return leaves.join(shares, list(LEVELS), "left").withColumn("share", F.floor(F.coalesce("share", F.lit(0.0)) + F.lit(1e-6)))
 
 
-def plan(docs: DataFrame, fraction: float = 0.8, weights: dict | None = None, max_epochs: int = 2, seed: int = 17, domain: str | None = None, text: str = "text", key: str = "doc_id") -> DataFrame:
-    """(row columns key, digest, levels, n_tokens, copies): how often each row is taken; ``fraction`` of all tokens is
-    the budget."""
-    weights = WEIGHTS if weights is None else weights
-    levels = [F.coalesce(F.expr(domain or domain_of()), F.lit(NONE)).alias("domain"), *[F.coalesce(F.col(c).cast("string"), F.lit(NONE)).alias(c) for c in LEVELS[1:]]]
-    rows = docs.select(F.col(key), F.md5(F.coalesce(F.col(text), F.lit(""))).alias("digest"), *levels, tokens_of(text).alias("n_tokens"))
-    rows = store(rows, "mix-rows")
+def decide(rows: DataFrame, fraction: float, weights: dict, max_epochs: int, seed: int) -> DataFrame:
+    """``rows`` (key, digest, levels, n_tokens, part, and any others) with ``copies``, how often each is taken. ``part``
+    is the partition a row was read from, the same whenever it is read."""
     leaves = rows.groupBy(*LEVELS).agg(F.sum("n_tokens").alias("supply"))
     budget = F.lit(float(fraction)) * F.sum("supply")
     leaves = store(budget_leaves(leaves, budget, weights, max_epochs), "mix-leaves")
     leaves = leaves.withColumns({"epochs": F.when(F.col("supply") > 0, F.floor(F.col("share") / F.col("supply"))).otherwise(F.lit(0)).cast("int")})
     leaves = leaves.withColumn("rest", (F.col("share") - F.col("epochs") * F.col("supply")).cast("long")).select(*LEVELS, "epochs", "rest")
-    order = F.md5(F.concat_ws(":", F.lit(str(seed)), F.col("epochs").cast("string"), F.coalesce(F.col(key).cast("string"), F.lit("")), "digest"))
+    order = F.md5(F.concat_ws(":", F.lit(str(seed)), F.col("epochs").cast("string"), F.coalesce(F.col("key").cast("string"), F.lit("")), "digest"))
     ranked = rows.join(leaves, list(LEVELS)).withColumn("place", order)
     # the bucket in which the rest ends, by leading digits of the order
     cut = leaves.select(*LEVELS, F.lit("").alias("prefix"), F.col("rest").alias("room"))
     for depth in range(1, STEPS + 1):
         at = F.substring("place", 1, DIGITS * depth)
-        open_ = ranked.join(cut, list(LEVELS)).where(F.substring("place", 1, DIGITS * (depth - 1)) == F.col("prefix"))
-        sums = open_.groupBy(*LEVELS, at.alias("bucket")).agg(F.sum("n_tokens").alias("n"), F.first("room").alias("room"))
+        inside = ranked.select(*LEVELS, "place", "n_tokens").join(cut, list(LEVELS)).where(F.substring("place", 1, DIGITS * (depth - 1)) == F.col("prefix"))
+        sums = inside.groupBy(*LEVELS, at.alias("bucket")).agg(F.sum("n_tokens").alias("n"), F.first("room").alias("room"))
         by = Window.partitionBy(*LEVELS).orderBy("bucket")
         sums = sums.withColumn("before", F.sum("n").over(by) - F.col("n"))
         # the first bucket that doesn't fit whole; where all fit, what comes after the last
@@ -100,40 +102,68 @@ def plan(docs: DataFrame, fraction: float = 0.8, weights: dict | None = None, ma
         cut = store(cut, "mix-cut")
     at = F.substring("place", 1, DIGITS * STEPS)
     both = ranked.join(cut, list(LEVELS), "left").withColumns({"prefix": F.coalesce("prefix", F.lit("~")), "room": F.coalesce("room", F.lit(0))})  # a leaf without tokens has no cut
+    # the last bucket: what stands before each (digest, partition), then within them; equal rows may be very many
     edge = both.where(at == F.col("prefix"))
-    by = Window.partitionBy(*LEVELS, "prefix").orderBy("place").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    edge = edge.withColumn("last", (F.sum("n_tokens").over(by) <= F.col("room")).cast("int"))
+    by = Window.partitionBy(*LEVELS).orderBy("place", "part")
+    sums = edge.groupBy(*LEVELS, "place", "part").agg(F.sum("n_tokens").alias("n")).withColumn("before", F.sum("n").over(by) - F.col("n")).drop("n")
+    by = Window.partitionBy(*LEVELS, "place", "part").orderBy("n_tokens").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    edge = edge.join(sums, [*LEVELS, "place", "part"])
+    edge = edge.withColumn("last", (F.col("before") + F.sum("n_tokens").over(by) <= F.col("room")).cast("int")).drop("before")
     inner = both.where(at != F.col("prefix")).withColumn("last", (at < F.col("prefix")).cast("int"))
     out = inner.unionByName(edge)
-    return out.select(key, "digest", *LEVELS, "n_tokens", (F.col("epochs") + F.when(F.col("rest") > 0, F.col("last")).otherwise(0)).cast("long").alias("copies"))
+    copies = (F.col("epochs") + F.when(F.col("rest") > 0, F.col("last")).otherwise(0)).cast("long")
+    return out.select(*rows.columns, copies.alias("copies"))
+
+
+def rows_of(docs: DataFrame, domain: str | None, text: str, key: str, whole: bool) -> DataFrame:
+    """(key, digest, levels, n_tokens, part) of each row; with ``whole``, the row itself as ``row``. Written, so that a
+    row keeps its ``part``."""
+    levels = [F.coalesce(F.expr(domain or domain_of()), F.lit(NONE)).alias("domain"), *[F.coalesce(F.col(c).cast("string"), F.lit(NONE)).alias(c) for c in LEVELS[1:]]]
+    own = [F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row")] if whole else []
+    rows = docs.select(F.col(key).alias("key"), F.md5(F.coalesce(F.col(text), F.lit(""))).alias("digest"), *levels, tokens_of(text).alias("n_tokens"), *own)
+    return store(rows.withColumn("part", F.spark_partition_id()), "mix-rows")
 
 
-def mix(docs: DataFrame, text: str = "text", key: str = "doc_id", **how) -> DataFrame:
+def plan(docs: DataFrame, fraction: float = 0.8, weights: dict | None = None, max_epochs: int = 2, seed: int = 17, domain: str | None = None, text: str = "text", key: str = "doc_id") -> DataFrame:
+    """(row columns key, digest, levels, n_tokens, copies): how often each row is taken; ``fraction`` of all tokens is
+    the budget."""
+    out = decide(rows_of(docs, domain, text, key, False), fraction, WEIGHTS if weights is None else weights, max_epochs, seed)
+    return out.drop("part").withColumnRenamed("key", key)
+
+
+def mix(docs: DataFrame, fraction: float = 0.8, weights: dict | None = None, max_epochs: int = 2, seed: int = 17, domain: str | None = None, text: str = "text", key: str = "doc_id") -> DataFrame:
     """The rows of ``docs`` that ``plan`` takes, each as often as it says."""
-    taken = plan(docs, text=text, key=key, **how).where("copies > 0").groupBy(F.col(key).alias("__key"), F.col("digest").alias("__digest")).agg(F.max("copies").alias("__copies"))
-    marked = docs.withColumns({"__key": F.col(key), "__digest": F.md5(F.coalesce(F.col(text), F.lit("")))})
-    joined = marked.alias("m").join(taken.alias("t"), F.expr("m.__key <=> t.__key and m.__digest = t.__digest"))
-    return joined.withColumn("__again", F.explode(F.sequence(F.lit(1), F.col("t.__copies")))).select(*[F.col(f"m.{c}") for c in docs.columns])
+    out = decide(rows_of(docs, domain, text, key, True), fraction, WEIGHTS if weights is None else weights, max_epochs, seed)
+    again = out.where("copies > 0").select("row", F.explode(F.sequence(F.lit(1), F.col("copies").cast("int"))).alias("again"))
+    return again.select("row.*")
 
 
 def oracle(fraction: float = 0.8, weights: dict | None = None, max_epochs: int = 2, seed: int = 17, table: str = "documents") -> str:
-    """The same plan as SQL, with each leaf sorted whole."""
+    """The plan from its definition, as SQL: siblings share by f(lambda) = sum of min(c, lambda w), whose value is taken
+    at every sibling's own c / w; lambda lies where f reaches the budget. Each leaf is sorted whole."""
     weights = WEIGHTS if weights is None else weights
+
+    def weight(level: str) -> str:
+        own = weights.get(level)
+        return "CASE " + " ".join(f"WHEN {level} = '{k}' THEN {v}::DOUBLE" for k, v in own.items()) + " ELSE 1.0::DOUBLE END" if own else "1.0::DOUBLE"
+
     sql = f"""
 WITH rows0 AS (SELECT doc_id, md5(coalesce(text, '')) AS digest, {domain_of()} AS domain, coalesce(lang, '{NONE}') AS lang, coalesce(source, '{NONE}') AS source,
   len(regexp_extract_all(coalesce(text, ''), '[^ \\t\\r\\n\\x0B\\f]+'))::BIGINT AS n_tokens FROM {table}),
 leaves AS (SELECT domain, lang, source, sum(n_tokens)::BIGINT AS supply FROM rows0 GROUP BY domain, lang, source),
-s0 AS (SELECT least({fraction}::DOUBLE * sum(supply), sum(supply) * {max_epochs}.0::DOUBLE) AS share FROM leaves),"""
+able AS (SELECT domain, lang, source, supply * {max_epochs}.0::DOUBLE AS c FROM leaves WHERE supply > 0 AND {" AND ".join(f"{weight(x)} > 0" for x in LEVELS)}),
+s0 AS (SELECT 1 AS root, least({fraction}::DOUBLE * (SELECT sum(supply) FROM leaves), coalesce(sum(c), 0)) AS share FROM able),"""
     for d, level in enumerate(LEVELS, 1):
-        keys, above = ", ".join(LEVELS[:d]), ", ".join(LEVELS[: d - 1])
-        w = "CASE " + " ".join(f"WHEN {level} = '{k}' THEN {v}::DOUBLE" for k, v in weights.get(level, {}).items()) + " ELSE 1.0::DOUBLE END" if weights.get(level) else "1.0::DOUBLE"
-        join = f"JOIN s{d - 1} USING ({above})" if above else "CROSS JOIN s0"
-        part = f"PARTITION BY {above}" if above else ""
+        keys, up = ", ".join(LEVELS[:d]), ", ".join(LEVELS[: d - 1]) or "root"
+        same = " AND ".join(f"a.{x} = b.{x}" for x in LEVELS[: d - 1]) or "true"
+        root = "1 AS root, " if d == 1 else ""
         sql += f"""
-n{d} AS (SELECT {keys}, c, w, share FROM (SELECT {keys}, sum(supply * {max_epochs}.0::DOUBLE) AS c, {w} AS w FROM leaves GROUP BY {keys}) {join} WHERE w > 0),
-f{d} AS (SELECT *, coalesce(sum(c) OVER ({part} ORDER BY c / w, {level} ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS used, sum(w) OVER ({part} ORDER BY c / w, {level} ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS onward FROM n{d}),
-g{d} AS (SELECT *, c * onward <= w * (share - used) AS filled FROM f{d}),
-s{d} AS (SELECT {keys}, CASE WHEN filled THEN c ELSE (share - coalesce(sum(CASE WHEN filled THEN c END) OVER ({part}), 0)) * w / sum(CASE WHEN NOT filled THEN w END) OVER ({part}) END AS share FROM g{d}),"""
+n{d} AS (SELECT * FROM (SELECT {root}{keys}, sum(c) AS c, {weight(level)} AS w FROM able GROUP BY {keys}) JOIN s{d - 1} USING ({up})),
+f{d} AS (SELECT {", ".join(f"a.{x}" for x in (LEVELS[: d - 1] or ["root"]))}, a.knee, sum(least(b.c, a.knee * b.w)) AS f, sum(CASE WHEN b.c / b.w > a.knee THEN b.w ELSE 0 END) AS slope, any_value(a.share) AS share FROM (SELECT DISTINCT {up}, share, c / w AS knee FROM n{d}) a JOIN n{d} b ON {same} GROUP BY ALL),
+m{d} AS (SELECT {up}, max(share) AS share, max(CASE WHEN f <= share THEN knee END) AS knee, arg_max(f, CASE WHEN f <= share THEN knee END) AS f, arg_max(slope, CASE WHEN f <= share THEN knee END) AS slope FROM f{d} GROUP BY {up}),
+w{d} AS (SELECT {up}, sum(w) AS w FROM n{d} GROUP BY {up}),
+k{d} AS (SELECT {up}, CASE WHEN knee IS NULL THEN share / w WHEN slope > 0 THEN knee + (share - f) / slope ELSE knee END AS water FROM m{d} JOIN w{d} USING ({up})),
+s{d} AS (SELECT {keys}, least(c, water * w) AS share FROM n{d} JOIN k{d} USING ({up})),"""
     return sql + f"""
 l AS (SELECT domain, lang, source, supply, floor(coalesce(share, 0) + 0.000001) AS share FROM leaves LEFT JOIN s{len(LEVELS)} USING (domain, lang, source)),
 e AS (SELECT *, CASE WHEN supply > 0 THEN floor(share / supply)::INT ELSE 0 END AS epochs FROM l),
