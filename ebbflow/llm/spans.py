@@ -1,7 +1,8 @@
 """Substring dedup by sliding sentence spans.
 
-A text is cut into sentences (at . ! ? before white space, and at line ends); a sentence of more than ``long_sentence``
-words is cut further behind words picked by their own hash, so that a passage is cut alike wherever it stands. Every run
+A text is cut into sentences (behind . ! ? before white space, and at line ends); a sentence of more than ``window``
+words is cut further behind the words with the smallest hash among their neighbours, so that a passage
+is cut alike wherever it stands, and no piece is long. Every run
 of ``run`` consecutive sentences is hashed (96 bits) and joined over the whole corpus; the sentences under any run but
 its first (smallest doc_id, then place) are removed. A task sends each hash once, for its smallest document, sorted and
 packed; the others it holds are settled at once, so a passage in very many documents is gathered nowhere.
@@ -22,42 +23,58 @@ from pyspark.sql import functions as F
 from .cells import groups
 from .common import _PLACES, WordHashes, arrow_rows, mix, pack, store, unpack
 
-_SENTENCE = re.compile(r"[^\n]+?(?:[.!?]+(?=\s)|(?=\n)|$)")
+#: The end of a sentence: a run of marks before white space, or a line's end. Looked for where a run begins alone, so
+#: that a long run of marks with nothing behind is passed once.
+_END = re.compile(r"(?<![.!?])[.!?]++(?=\s)|\n")
+_WORD = re.compile(r"\S+")
 _LAST = (1 << 63) - 1
-
-
-def sentences(text: str, memory: WordHashes, long_sentence: int = 12, piece: int = 6) -> tuple[list[int], list[int], np.ndarray]:
-    """(starts, ends, hashes) of the sentences of a text; white space around and letter case do not count."""
-    starts, ends, hashes = [], [], []
-    for m in _SENTENCE.finditer(text):
-        a = m.start()
-        words = m[0].lower().split()
-        if not words:
-            continue
-        h = [memory[w] for w in words]
-        if len(words) <= long_sentence:
-            starts.append(a)
-            ends.append(m.end())
-            hashes.append(hash_of(h))
-            continue
-        at, first = a, 0
-        places = [x.start() + a for x in re.finditer(r"\S+", m[0])]
-        for i, x in enumerate(h):
-            if i + 1 == len(h) or x % piece == 0:
-                stop = places[i + 1] if i + 1 < len(h) else m.end()
-                starts.append(at)
-                ends.append(stop)
-                hashes.append(hash_of(h[first : i + 1]))
-                at, first = stop, i + 1
-    return starts, ends, np.array(hashes, np.uint64)
-
-
-def hash_of(words: list[int]) -> int:
-    x = len(words)
-    for w in words:
-        x = ((x ^ w) * 0x9E3779B97F4A7C15 + 0x165667B19E3779F9) & 0xFFFFFFFFFFFFFFFF
-        x ^= x >> 29
-    return x
+_BASE = np.uint64(0x9E3779B97F4A7C17)
+_BACK = np.uint64(pow(0x9E3779B97F4A7C17, -1, 1 << 64))
+
+
+def powers(base: np.uint64, n: int) -> np.ndarray:
+    out = np.full(n, base, np.uint64)
+    out[:1] = 1
+    return np.multiply.accumulate(out)
+
+
+def cuts(h: np.ndarray, owner: np.ndarray, length: np.ndarray, window: int) -> np.ndarray:
+    """The words behind which long sentences are cut: the smallest hash of every ``window`` words of one sentence (the last
+    of equal ones). Two cuts in a row are at most ``window`` apart, and depend on the words around them alone."""
+    if len(h) < window:
+        return np.zeros(0, np.int64)
+    inside = np.flatnonzero((owner[: len(h) - window + 1] == owner[window - 1 :]) & (length[owner[: len(h) - window + 1]] > window))
+    near = np.lib.stride_tricks.sliding_window_view(h, window)[inside]
+    return np.unique(inside + window - 1 - near[:, ::-1].argmin(1)) if len(inside) else inside
+
+
+def sentences(text: str, memory: WordHashes, window: int = 12) -> tuple[list[int], list[int], np.ndarray]:
+    """(starts, ends, hashes) of the sentences of a text; white space around and letter case do not count. Those of more
+    than ``window`` words are cut: any 4 ``window`` words in a row within one hold three whole pieces. Linear in the text."""
+    words = text.lower().split()
+    if not words:
+        return [], [], np.zeros(0, np.uint64)
+    at = np.fromiter((m.start() for m in _WORD.finditer(text)), np.int64, len(words))
+    h = np.fromiter(map(memory.__getitem__, words), np.uint64, len(words))
+    marks = [m.span() for m in _END.finditer(text)]
+    stop = np.array([a if text[a] == "\n" else b for a, b in marks] + [len(text)], np.int64)  # of each sentence
+    start = np.array([0] + [b for _, b in marks], np.int64)
+    last = np.searchsorted(at, stop)  # words before its end
+    some = np.diff(last, prepend=0) > 0
+    start, stop, last = start[some], stop[some], last[some]
+    length = np.diff(last, prepend=0)
+    inner = cuts(h, np.repeat(np.arange(len(last)), length), length, window) + 1
+    inner = np.setdiff1d(inner, last, assume_unique=True)
+    if len(inner):
+        # starts and ends by word: those of sentences, and the first letter of the word behind a cut
+        begin, end = at.copy(), np.append(at, len(text))
+        begin[last - length], end[last] = start, stop
+        last = np.sort(np.concatenate([last, inner]))
+        length = np.diff(last, prepend=0)
+        start, stop = begin[last - length], end[last]
+    sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(h * powers(_BACK, len(h)))])
+    own = (sums[last] - sums[last - length]) * powers(_BASE, len(h) + 1)[last]
+    return start.tolist(), stop.tolist(), mix(own + length.astype(np.uint64))
 
 
 def run_hashes(h: np.ndarray, run: int) -> tuple[np.ndarray, np.ndarray]:
@@ -72,10 +89,12 @@ def run_hashes(h: np.ndarray, run: int) -> tuple[np.ndarray, np.ndarray]:
     return mix(x).view(np.int64), (mix(y) >> np.uint64(32)).astype(np.uint32).view(np.int32)
 
 
-def find(docs: DataFrame, run: int = 3, text: str = "text", key: str = "doc_id") -> DataFrame:
+def find(docs: DataFrame, run: int = 3, text: str = "text", key: str = "doc_id", part_bytes: int = 4_000_000) -> DataFrame:
     """(key, digest, starts, ends, removed) of every row: the sentences of its text, and the places of those that go.
-    Positions are code points."""
-    parts = max(1, int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    Positions are code points. Hashes meet in as many parts as there are ``part_bytes`` of text; a task holds one part at
+    a time."""
+    many = docs.agg(F.sum(F.octet_length(text))).first()[0] or 1
+    parts = max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-int(many) // part_bytes))
 
     def scan(batches):
         import hashlib
@@ -162,14 +181,16 @@ def removed_spans(found: DataFrame, key: str = "doc_id") -> DataFrame:
 def remove(docs: DataFrame, run: int = 3, text: str = "text", key: str = "doc_id") -> DataFrame:
     """``docs`` without the sentences that ``find`` removes; all other columns and rows as they are."""
     found = find(docs, run, text, key).where(F.size("removed") > 0).dropDuplicates([key, "digest"])
-    cuts = F.transform("removed", lambda i: F.struct(F.get("starts", i).alias("a"), F.get("ends", i).alias("b")))
-    cuts = found.select(F.col(key).alias("__key"), F.col("digest").alias("__digest"), cuts.alias("__cuts"))
-    marked = docs.withColumns({"__key": F.coalesce(F.col(key).cast("long"), F.lit(_LAST)), "__digest": F.md5(F.coalesce(F.col(text), F.lit("")))})
-    joined = marked.join(cuts, ["__key", "__digest"], "left")
+    cut = F.transform("removed", lambda i: F.struct(F.get("starts", i).alias("a"), F.get("ends", i).alias("b")))
+    cut = found.select(F.col(key).alias("id"), "digest", cut.alias("cuts"))
+    # the row travels as one value, so that no column of it can clash
+    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.coalesce(F.col(key).cast("long"), F.lit(_LAST)).alias("id"), F.md5(F.coalesce(F.col(text), F.lit(""))).alias("digest"))
+    joined = rows.join(cut, ["id", "digest"], "left")
+    body, n = F.col("row").getField(text), F.size("cuts")
     # what is left of the text: the pieces between the removed sentences
-    n = F.size("__cuts")
     pieces = F.transform(
         F.sequence(F.lit(0), n),
-        lambda i: F.substring(F.col(text), F.coalesce(F.get("__cuts", i - 1)["b"], F.lit(0)) + 1, F.coalesce(F.get("__cuts", i)["a"], F.length(text)) - F.coalesce(F.get("__cuts", i - 1)["b"], F.lit(0))),
+        lambda i: F.substring(body, F.coalesce(F.get("cuts", i - 1)["b"], F.lit(0)) + 1, F.coalesce(F.get("cuts", i)["a"], F.length(body)) - F.coalesce(F.get("cuts", i - 1)["b"], F.lit(0))),
     )
-    return joined.withColumn(text, F.when(n > 0, F.concat_ws("", pieces)).otherwise(F.col(text))).select(*docs.columns)
+    new = F.when(n > 0, F.concat_ws("", pieces)).otherwise(body)
+    return joined.select(*[new.alias(c) if c == text else F.col("row").getField(c).alias(c) for c in docs.columns])
