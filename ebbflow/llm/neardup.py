@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 
 from .cells import compare, deal, groups
 from .common import components, store
-from .vectors import matrix, unit, usable
+from .vectors import cosines, matrix, unit, usable
 
 
 def orders(n: int, threshold: float, window: int, recall: float) -> int:
@@ -33,15 +33,17 @@ def orders(n: int, threshold: float, window: int, recall: float) -> int:
     return int(np.ceil(np.log(1 / (1 - recall)) / chance))
 
 
-def kept(cos: np.ndarray, each: int, threshold: float) -> np.ndarray:
-    """The ``each`` best of a row, whatever they are, and all that reach the threshold; -2 is none."""
+def kept(cos: np.ndarray, each: int, threshold: float, more: int) -> np.ndarray:
+    """The ``each`` best of a row, whatever they are, and the best ``more`` that reach the threshold; -2 is none."""
+    there = cos > -2
     if cos.shape[1] <= each:
-        return cos > -2
-    least = np.partition(cos, -each, axis=1)[:, -each]
-    return (cos > -2) & (cos >= np.minimum(least, threshold)[:, None])
+        return there
+    more = min(more, cos.shape[1])
+    place = np.partition(cos, (-more, -each), axis=1)
+    return there & ((cos >= place[:, -each, None]) | (cos >= np.maximum(place[:, -more], threshold)[:, None]))
 
 
-def starts(nodes: DataFrame, dims: int, trees: int, window: int, each: int, threshold: float, seed: int) -> DataFrame:
+def starts(nodes: DataFrame, dims: int, trees: int, window: int, each: int, more: int, threshold: float, seed: int) -> DataFrame:
     """(a, b, cos): each vector's best among the ``window`` on either side in each of ``trees`` sorted orders of sign codes."""
 
     def codes(batches):
@@ -66,29 +68,51 @@ def starts(nodes: DataFrame, dims: int, trees: int, window: int, each: int, thre
         held = None  # the last rows of the batch before
         for b in batches:
             t, ids, x = b.column("tree").to_numpy(), b.column("node").to_numpy(), unit(matrix(b.column("vector")))
+            old = 0
             if held is not None:
+                old = len(held[1])
                 t, ids, x = np.concatenate([held[0], t]), np.concatenate([held[1], ids]), np.concatenate([held[2], x])
-            n, w = len(ids), min(window, len(ids) - 1)
-            cos = np.full((n, 2 * w), -2.0)  # with the w behind, then the w before
-            for o in range(1, w + 1):
-                near = np.where(t[:-o] == t[o:], (x[:-o] * x[o:]).sum(1), -2.0)
-                cos[:-o, o - 1] = cos[o:, w + o - 1] = near
+            edges = [0, *range(old or window, len(ids), window), len(ids)]
+            blocks = list(zip(edges, edges[1:], strict=False))
+            before, found = None, []
+            for k, (s, e) in enumerate(blocks):  # a block is held against itself and the one behind
+                cols, parts_ = [], []
+                if before is not None:
+                    cols.append(np.arange(*blocks[k - 1]))
+                    parts_.append(before.T)
+                if k or not old:
+                    own = cosines(x[s:e], x[s:e], threshold)
+                    np.fill_diagonal(own, -2.0)
+                    cols.append(np.arange(s, e))
+                    parts_.append(np.where(t[s:e, None] == t[s:e], own, -2.0))
+                if k + 1 < len(blocks):
+                    u, v = blocks[k + 1]
+                    before = np.where(t[s:e, None] == t[u:v], cosines(x[s:e], x[u:v], threshold), -2.0)
+                    cols.append(np.arange(u, v))
+                    parts_.append(before)
+                if parts_:
+                    cos, col = np.concatenate(parts_, axis=1), np.concatenate(cols)
+                    r, c = np.nonzero(kept(cos, each, threshold, more))
+                    found.append((ids[s + r], ids[col[c]], cos[r, c]))
             held = t[-window:], ids[-window:], x[-window:]
-            if w:
-                r, c = np.nonzero(kept(cos, each, threshold))
-                yield pa.RecordBatch.from_arrays([pa.array(ids[r]), pa.array(ids[np.where(c < w, r + c + 1, r - (c - w) - 1)]), pa.array(cos[r, c])], ["a", "b", "cos"])
+            if found:
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in zip(*found, strict=True)], ["a", "b", "cos"])
 
     return sorted_.mapInArrow(sweep, "a long, b long, cos double")
 
 
 def best(pairs: DataFrame, k: int, threshold: float, most: int) -> DataFrame:
-    """Lists (a, b, cos): the ``k`` best of each node, or ``most`` where they all reach the threshold."""
-    both = pairs.select("a", "b", "cos").union(pairs.select("b", "a", "cos")).groupBy("a", "b").agg(F.max("cos").alias("cos"))
+    """Lists (a, b, cos, fresh): the ``k`` best of each node, or ``most`` where they all reach the threshold; ``pairs`` may
+    hold earlier lists (fresh = 0)."""
+    if "fresh" not in pairs.columns:
+        pairs = pairs.withColumn("fresh", F.lit(1))
+    both = pairs.select("a", "b", "cos", "fresh").union(pairs.select("b", "a", "cos", "fresh")).groupBy("a", "b").agg(F.max("cos").alias("cos"), F.min("fresh").alias("fresh"))
     place = F.row_number().over(Window.partitionBy("a").orderBy(F.desc("cos"), "b"))
-    return both.withColumn("place", place).where((F.col("place") <= k) | (F.col("place") <= most) & (F.col("cos") >= threshold)).drop("place")
+    # the first bound is one of its own, so that a hub's window is cut in every task before it is sorted
+    return both.withColumn("place", place).where(F.col("place") <= max(k, most)).where((F.col("place") <= k) | (F.col("cos") >= threshold)).drop("place")
 
 
-def refine(lists: DataFrame, nodes: DataFrame, each: int, threshold: float) -> DataFrame:
+def refine(lists: DataFrame, nodes: DataFrame, each: int, more: int, threshold: float) -> DataFrame:
     """(a, b, cos) between the neighbours of each node."""
     with_vectors = lists.join(nodes.select(F.col("node").alias("b"), "vector"), "b")
     pivots = with_vectors.groupBy("a").agg(F.collect_list(F.struct("b", "vector")).alias("near"))  # a list's length at most
@@ -105,9 +129,9 @@ def refine(lists: DataFrame, nodes: DataFrame, each: int, threshold: float) -> D
             for n in np.diff(b.column("ids").offsets.to_numpy()).tolist():
                 own, y = ids[at : at + n], x[at : at + n]
                 at += n
-                cos = y @ y.T
+                cos = cosines(y, y, threshold)
                 np.fill_diagonal(cos, -2)
-                i, j = np.nonzero(kept(cos, each, threshold))
+                i, j = np.nonzero(kept(cos, each, threshold, more))
                 out.append((np.minimum(own[i], own[j]), np.maximum(own[i], own[j]), cos[i, j]))
             if out:
                 p, q, cos = (np.concatenate(c) for c in zip(*out, strict=True))
@@ -119,13 +143,15 @@ def refine(lists: DataFrame, nodes: DataFrame, each: int, threshold: float) -> D
     return pivots.mapInArrow(run, "a long, b long, cos double").where("a <> b")
 
 
-def crossings(lists: DataFrame, classes: DataFrame, nodes: DataFrame, threshold: float, most: int, block: int) -> DataFrame:
+def crossings(lists: DataFrame, classes: DataFrame, nodes: DataFrame, threshold: float, most: int, block: int) -> DataFrame | None:
     """(a, b): a link between each two chunks of saturated nodes that have one and lie in different components.
 
     A link is missing from both lists only where both are saturated, so saturated nodes are compared exactly across
     components. Each component's are dealt over chunks; chunks meet where the angle between their centres leaves room
     for a link, by their radii."""
     full = lists.where(F.col("cos") >= threshold).groupBy(F.col("a").alias("id")).agg(F.count("*").alias("n")).where(F.col("n") >= most)
+    if full.isEmpty():
+        return None
     full = full.select("id").join(classes, "id")
     sizes = full.groupBy("component").agg(F.count("*").alias("size"))
     chunk = F.pmod(F.xxhash64("id", F.lit(block)), F.ceil(F.col("size") / F.lit(block)).cast("int")).cast("int")
@@ -169,7 +195,7 @@ def crossings(lists: DataFrame, classes: DataFrame, nodes: DataFrame, threshold:
 
         for _, t in groups(batches, ["pair"]):
             side, ids, x = t.column("side").to_numpy(), t.column("id").to_numpy(), unit(matrix(t.column("vector")))
-            hit = np.argwhere(x[side == 0] @ x[side == 1].T >= threshold)
+            hit = np.argwhere(cosines(x[side == 0], x[side == 1], threshold) >= threshold)
             if len(hit):
                 yield pa.RecordBatch.from_arrays([pa.array(ids[side == 0][hit[:1, 0]]), pa.array(ids[side == 1][hit[:1, 1]])], ["a", "b"])
 
@@ -192,11 +218,11 @@ def audit(nodes: DataFrame, classes: DataFrame, threshold: float, audited: int,
     stratum = sum(F.when(F.col("size") > s, 1).otherwise(0) for s in SIZES)
     own = store(own.select("node", "vector", "component", stratum.alias("stratum")), "audited")
     many = {r.stratum: r.n for r in own.groupBy("stratum").agg(F.count("*").alias("n")).collect()}
-    probe, weight = [], []
-    for s, n in many.items():
-        drawn = own.where(F.col("stratum") == s).orderBy(F.xxhash64("node", F.lit(seed)), "node").limit(max(audited, int(sum(many.values()) ** 0.5))).select("node", "vector", "component").collect()  # bounded
-        probe += drawn
-        weight += [n / len(drawn)] * len(drawn)
+    place = F.row_number().over(Window.partitionBy("stratum").orderBy(F.xxhash64("node", F.lit(seed)), "node"))
+    drawn = own.withColumn("place", place).where(F.col("place") <= max(audited, int(sum(many.values()) ** 0.5)))
+    probe = drawn.select("node", "vector", "component", "stratum").collect()  # bounded: four strata
+    per = {s: sum(r.stratum == s for r in probe) for s in many}
+    weight = [many[r.stratum] / per[r.stratum] for r in probe]
     if not probe:
         return 1.0, nodes.sparkSession.createDataFrame([], "a long, b long")
     ids, x, home = np.array([r.node for r in probe]), unit(np.array([r.vector for r in probe], float)), np.array([r.component for r in probe])
@@ -210,7 +236,7 @@ def audit(nodes: DataFrame, classes: DataFrame, threshold: float, audited: int,
             node, at, y = b.column("node").to_numpy(), b.column("component").to_numpy(), unit(matrix(b.column("vector")))
             out = []
             for s in range(0, len(node), block):
-                r, c = np.nonzero(x @ y[s : s + block].T >= threshold)
+                r, c = np.nonzero(cosines(x, y[s : s + block], threshold) >= threshold)
                 c += s
                 r, c = r[ids[r] != node[c]], c[ids[r] != node[c]]
                 same = home[r] == at[c]
@@ -235,50 +261,51 @@ def audit(nodes: DataFrame, classes: DataFrame, threshold: float, audited: int,
     return least, store(told.where("b is not null").join(F.broadcast(names), "p").select("a", "b").distinct(), "lost")
 
 
-def near_duplicates(table: DataFrame, threshold: float = 0.9, key: str = "vec_id", vector: str = "embedding", k: int = 12, most: int = 48, trees: int = 16, window: int = 12, each: int = 4, rounds: int = 4, settled: float = 0.005, recall: float = 0.995, audited: int = 256, attempts: int = 8, block: int = 512) -> DataFrame:
-    """(key, n_links, component_id, kept) of every row of ``table``."""
+def near_duplicates(table: DataFrame, threshold: float = 0.9, key: str = "vec_id", vector: str = "embedding", k: int = 12, most: int = 48, trees: int = 12, window: int = 64, each: int = 4, more: int = 12, rounds: int = 4, settled: float = 0.005, recall: float = 0.995, audited: int = 256, attempts: int = 8, block: int = 512) -> DataFrame:
+    """(key, n_links, component_id, kept) of every row of ``table``. Raises if the audited recall stays below ``recall``."""
     rows = store(table.select(F.col(key).cast("long").alias("key"), F.col(vector).alias("vector")).withColumn("row", F.monotonically_increasing_id()), "vectors")
     fine = usable(rows, "vector")
     same = fine.groupBy("vector").agg(F.min("row").alias("node"), F.count("*").alias("weight"), F.min("key").alias("least"))
     all_nodes = store(same, "nodes")
     out = None
-    for (dims,) in all_nodes.select(F.size("vector")).distinct().collect():  # one, unless lengths differ
+    for dims, many in sorted(all_nodes.groupBy(F.size("vector")).count().collect()):  # one, unless lengths differ
         nodes = all_nodes.where(F.size("vector") == dims)
         lists, seed, missing = None, 100, None
-        batches = -(-orders(nodes.count(), threshold, window, recall) // trees)
+        wanted = orders(many, threshold, window, recall)
         for attempt in range(attempts):
-            for _ in range(batches):
-                found = starts(nodes, dims, trees, window, each, threshold, seed)
-                lists = store(best(found if lists is None else found.unionByName(lists), k, threshold, most), "lists")
-                seed += 1
-            size = lists.count()
+            left = wanted
+            while left > 0:  # an attempt's orders, so many at a time
+                found = starts(nodes, dims, -(-wanted // -(-wanted // trees)), window, each, more, threshold, seed).withColumn("fresh", F.lit(1))
+                lists = store(best(found if lists is None else found.unionByName(lists.withColumn("fresh", F.lit(0))), k, threshold, most), "lists")
+                seed, left = seed + 1, left - trees
             for _ in range(rounds):
-                more = refine(lists, nodes, each, threshold)
-                new = store(best(more.unionByName(lists), k, threshold, most), "lists")
-                fresh = new.join(lists, ["a", "b"], "left_anti").count()
-                lists = new
+                found = refine(lists, nodes, each, more, threshold).withColumn("fresh", F.lit(1))
+                lists = store(best(found.unionByName(lists.withColumn("fresh", F.lit(0))), k, threshold, most), "lists")
+                size, fresh = lists.agg(F.count("*"), F.coalesce(F.sum("fresh"), F.lit(0))).first()
                 if fresh <= settled * max(size, 1):
                     break
             # a list that is cut may have lost a link that the other node's list still has
             links = lists.where(F.col("cos") >= threshold).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
             classes = store(components(links, "linked"), "classes")
             across = crossings(lists, classes, nodes, threshold, most, block)
-            if not across.isEmpty():
+            if across is not None and not across.isEmpty():
                 links = links.unionByName(across)
                 classes = store(components(links, "linked"), "classes")
             share, lost = audit(nodes, classes, threshold, audited, attempt)
-            missing = lost if missing is None else missing.unionByName(lost)  # what the audits found is kept
+            if not lost.isEmpty():  # what the audits found is kept
+                missing = lost if missing is None else missing.unionByName(lost)
             if share >= recall:
                 break
         else:
             raise RuntimeError(f"op1: recall of nodes is {share:.4f} after {attempts} attempts, below {recall}")
-        classes = store(components(links.unionByName(missing), "linked"), "classes")
+        if missing is not None:
+            classes = store(components(links.unionByName(missing), "linked"), "classes")
         sizes = classes.groupBy("component").agg(F.count("*").alias("size"))
         members = classes.join(sizes, "component").join(nodes.select(F.col("node").alias("id"), "weight", "vector"), "id")
 
         def similar(t, left, right):
             x = unit(matrix(t.column("vector")))
-            return x[left] @ x[right].T >= threshold
+            return cosines(x[left], x[right], threshold) >= threshold
 
         links = compare(deal(members, "component", "size", "id", block), "component", "id", "weight", similar)
         counts = links.where("n is not null").groupBy(F.col("a").alias("node")).agg(F.sum("n").alias("n"))
