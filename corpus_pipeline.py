@@ -17,7 +17,7 @@ from ebbflow.llm.queries import vocabulary
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the chain rejects go; all others stay as they are."""
     model = toxicity.train(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"), toxicity.LABELS)
-    return toxicity.score(docs, model).where(~F.col("is_toxic")).select(*docs.columns)
+    return docs.where(~toxicity.rejected(model, "toxic"))
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
