@@ -4,7 +4,8 @@ Texts are sets of hashed runs of five words. Equal sets are one member with a we
 min-hashes; a path is a sequence of coordinates, drawn alike for all members of a node, and members go on together while
 they agree at the coordinates drawn: each level splits a node by the tokens its sets share. Nodes of at most ``block``
 members are compared outright, and so are nodes that are alike on the whole (most agree at a further coordinate), no
-longer shrink or have reached the last level, in cells of bounded size. Runs with new seeds are repeated, in batches, until a batch finds at most ``1 - recall`` of its links new.
+longer shrink or have reached the last level, in cells of bounded size. Runs with new seeds are repeated, in batches,
+until a batch finds at most ``1 - recall`` of its links new; if that takes too many batches, the join fails.
 What the signatures propose is then verified on the exact sets, component by component, so each link counts once.
 
 Defined results: a null or blank text has no set and no link; a text of fewer than five words is one run of all its
@@ -165,14 +166,15 @@ def verified(docs: DataFrame, members: DataFrame, comps: DataFrame, threshold: f
     return compare(deal(sets, "component", "size", "rep", block), "component", "rep", "weight", similar)
 
 
-def join(docs: DataFrame, threshold: float = 0.8, width: int = 5, recall: float = 0.999, text: str = "text", key: str = "doc_id", block: int = 256, levels: int = 4, runs: int = 5, batches: int = 6) -> DataFrame:
-    """(row, key, digest, class_id, n_links, weight) of every row: smallest key reachable over links of Jaccard
-    ``threshold`` or more, and how many other rows it links with directly."""
+def join(docs: DataFrame, threshold: float = 0.8, width: int = 5, recall: float = 0.999, text: str = "text", key: str = "doc_id", block: int = 256, levels: int = 12, runs: int = 5, batches: int = 12) -> DataFrame:
+    """(row, key, digest, component, class_id, n_links) of every row: smallest key reachable over links of Jaccard
+    ``threshold`` or more, and how many other rows it links with directly; ``component`` is null where there is no set.
+    Raises if ``batches`` batches of ``runs`` runs still find more than ``1 - recall`` of their links new."""
     rows = signatures(docs, text, key, width)
     reps = rows.where("set is not null").groupBy("set").agg(F.min("row").alias("rep"), F.count("*").alias("weight"), F.min("key").alias("least"))
     reps = store(reps, "reps")
     members = store(reps.join(rows.select(F.col("row").alias("rep"), "key", "digest", "sig"), "rep"), "members")
-    edges, known = None, None
+    edges, known, share = None, None, 0.0
     for turn in range(batches):
         new = store(proposals(members, turn * runs, runs, threshold, threshold - 0.2, block, levels), "proposals")
         edges = new if edges is None else edges.unionByName(new)
@@ -180,25 +182,29 @@ def join(docs: DataFrame, threshold: float = 0.8, width: int = 5, recall: float
         if known is not None:  # edges of this batch that join what was apart
             a, b = known.withColumnsRenamed({"id": "a", "component": "ca"}), known.withColumnsRenamed({"id": "b", "component": "cb"})
             n, fresh = new.join(a, "a", "left").join(b, "b", "left").agg(F.count("*"), F.coalesce(F.sum(F.when(F.col("ca") == F.col("cb"), 0).otherwise(1)), F.lit(0))).first()
-            if fresh <= (1 - recall) * n:
+            share = 1 - fresh / max(n, 1)
+            if share >= recall:
                 break
         known = comps
+    else:
+        raise RuntimeError(f"op10: {share:.4f} of the links of batch {batches} were known before, below {recall}")
     links = store(verified(docs, members, comps, threshold, block, text, key, width), "links")
     classes = components(links.where("b is not null").select("a", "b"), "classes")
     counts = links.where("n is not null").groupBy(F.col("a").alias("rep")).agg(F.sum("n").alias("n"))
     out = reps.join(classes.withColumnRenamed("id", "rep"), "rep", "left").withColumn("component", F.coalesce("component", "rep"))
     least = out.groupBy("component").agg(F.min("least").alias("class_id"))
-    out = out.join(least, "component").join(counts, "rep", "left").select("set", "class_id", (F.coalesce("n", F.lit(0)) + F.col("weight") - 1).alias("n_links"), "weight")
+    out = out.join(least, "component").join(counts, "rep", "left").select("set", "component", "class_id", (F.coalesce("n", F.lit(0)) + F.col("weight") - 1).alias("n_links"))
     found = rows.select("row", "key", "digest", "set").join(out, "set", "left")
-    return found.select("row", F.col("key").alias(key), "digest", F.coalesce("class_id", "key").alias("class_id"), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"))
+    return found.select("row", F.col("key").alias(key), "digest", "component", F.coalesce("class_id", "key").alias("class_id"), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"))
 
 
 def keep_one(docs: DataFrame, text: str = "text", key: str = "doc_id", **how) -> DataFrame:
-    """``docs`` with one row of each class: the smallest key, then the smallest digest, then any of equal rows."""
-    joined = join(docs, text=text, key=key, **how)
-    first = joined.groupBy("class_id").agg(F.min(F.when(F.col(key) == F.col("class_id"), F.col("digest"))).alias("__digest"))
-    alone = joined.where(F.col("class_id").isNull()).select(F.lit(None).cast("long").alias("__key"), F.col("digest").alias("__digest"))
-    kept = first.where("class_id is not null").select(F.col("class_id").alias("__key"), "__digest").unionByName(alone).distinct()
-    marked = docs.withColumns({"__key": F.col(key).cast("long"), "__digest": F.md5(F.coalesce(F.col(text), F.lit("")))})
-    out = marked.alias("m").join(kept.alias("k"), F.expr("m.__key <=> k.__key and m.__digest = k.__digest"), "left_semi")
-    return out.dropDuplicates(["__key", "__digest"]).select(*docs.columns)
+    """``docs`` with one row of each class: the smallest key (null last), then the smallest digest, then any of equal rows.
+    Rows without a set stay, but for equal ones."""
+    joined = join(docs, text=text, key=key, **how).select(F.col(key).alias("id"), "digest", "component")
+    first = joined.where("component is not null").groupBy("component").agg(F.min(F.struct(F.col("id").isNull().alias("none"), "id", "digest")).alias("x"))
+    kept = first.select("x.id", "x.digest").unionByName(joined.where("component is null").select("id", "digest").distinct())
+    # the row travels as one value, so that no column of it can clash
+    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.col(key).cast("long").alias("id"), F.md5(F.coalesce(F.col(text), F.lit(""))).alias("digest"))
+    out = rows.alias("m").join(kept.alias("k"), F.expr("m.id <=> k.id and m.digest = k.digest"), "left_semi")
+    return out.dropDuplicates(["id", "digest"]).select("row.*")
