@@ -296,20 +296,6 @@ def stationary_converged(s, d):
     return out(_pi(s, d, None), ["node"], ["pi"], 9)
 
 
-@query(final(PI7, "SELECT node AS ticker, round(pi * (SELECT count(*) FROM nodes), 7) AS score, row_number() OVER (ORDER BY round(pi, 12) DESC, node) AS place FROM pi7"))
-def rank_last(s, d):
-    """Where money concentrates: score pi N of every node after the last bar, best first."""
-    n = _nodes(s, d).agg(F.count("*").alias("n"))
-    place = F.row_number().over(Window.orderBy(F.desc(F.round("pi", 12)), "node"))  # a ranking of all nodes
-    rows = _pi(s, d).crossJoin(n).select(F.col("node").alias("ticker"), (F.col("pi") * F.col("n")).alias("score"), place.alias("place"))
-    return out(rows, ["ticker", "place"], ["score"], 7)
-
-
-@query(final(PI7, "SELECT ticker, pi FROM (SELECT node AS ticker, round(pi, 9) AS pi, row_number() OVER (ORDER BY round(pi, 12), node) AS k FROM pi7) WHERE k <= 10"))
-def rank_bottom(s, d):
-    return out(_pi(s, d).orderBy(F.round("pi", 12), "node").limit(10).withColumnRenamed("node", "ticker"), ["ticker"], ["pi"], 9)
-
-
 @query(final(PI7, "SELECT node, round(pi * (SELECT count(*) FROM nodes) - 1, 7) AS hot FROM pi7"))
 def hotness_uniform(s, d):
     return out(flux.hotness(_pi(s, d)), ["node"], ["hot"], 7)
@@ -336,13 +322,6 @@ def forecast_k1(s, d):
     return out(rows.select("node", (F.col("n") * (F.col("pi") - F.col("was"))).alias("forecast")), ["node"], ["forecast"], 8)
 
 
-@query(final(PI7, "SELECT count(*) AS n, round(avg(CASE WHEN pi <= (0.15::DOUBLE / (SELECT count(*) FROM nodes)) * 1.000001::DOUBLE THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END), 8) AS floor_share FROM pi7"))
-def teleport_floor(s, d):
-    rows = _pi(s, d).crossJoin(_nodes(s, d).agg(F.count("*").alias("k")))
-    low = (F.col("pi") <= 0.15 / F.col("k") * 1.000001).cast("double")
-    return out(rows.agg(F.count("*").alias("n"), F.avg(low).alias("floor_share")), ["n"], ["floor_share"], 8)
-
-
 @query(final(FLUX, "SELECT src, dst, round(w, 4) AS w FROM acc WHERE src <> dst ORDER BY w DESC, src, dst LIMIT 25"))
 def top_arcs(s, d):
     return out(graph.top_arcs(_acc(s, d), 25), ["src", "dst"], ["w"], 4)
@@ -356,10 +335,12 @@ def flow_neighbours(s, d):
     return out(graph.neighbours(_acc(s, d), 3), ["src", "dst"], ["w"], 4)
 
 
-@query(final(FLUX, f"SELECT src, dst, round(w, 4) AS w FROM ({NEAR}) WHERE src IN (1, 2, 3) OR dst IN (1, 2, 3)"))
+@query(final(FLUX, f""" ne AS ({NEAR}),
+ego AS (SELECT 1 AS node UNION SELECT 2 UNION SELECT 3 UNION SELECT other FROM (SELECT node, other, row_number() OVER (PARTITION BY node ORDER BY max(w) DESC, other) AS k FROM (SELECT src AS node, dst AS other, w FROM ne UNION ALL SELECT dst, src, w FROM ne) WHERE node IN (1, 2, 3) GROUP BY node, other) WHERE k <= 3)
+SELECT src, dst, round(w, 4) AS w FROM ne WHERE src IN (SELECT node FROM ego) AND dst IN (SELECT node FROM ego)"""))
 def flow_subgraph(s, d):
     focus = s.createDataFrame([(1,), (2,), (3,)], "node long")
-    return out(graph.subgraph(graph.neighbours(_acc(s, d), 3), focus), ["src", "dst"], ["w"], 4)
+    return out(graph.subgraph(graph.neighbours(_acc(s, d), 3), focus, 3), ["src", "dst"], ["w"], 4)
 
 
 @query(final(PI7, """, hub AS (SELECT node FROM pi7 ORDER BY round(pi, 12) DESC, node LIMIT 1),
@@ -495,8 +476,8 @@ def ari(s, d):
 
 @query(final(PI7, """SELECT round(1 - corr(rx, ry), 7) AS gain FROM (SELECT rank() OVER (ORDER BY x) + (count(*) OVER (PARTITION BY x) - 1) / 2.0::DOUBLE AS rx, rank() OVER (ORDER BY y) + (count(*) OVER (PARTITION BY y) - 1) / 2.0::DOUBLE AS ry FROM (SELECT round(pi, 12) AS x, round(inflow, 4) AS y FROM pi7 JOIN mg USING (node)))"""))
 def structure_gain(s, d):
-    rows = _pi(s, d).join(_margin(s, d), "node").select(F.round("pi", 12).alias("x"), F.round("inflow", 4).alias("y"), F.lit(0).alias("all"))
-    return out(stats.spearman(rows, "x", "y", ["all"]).select((1 - F.col("ic")).alias("gain")), [], ["gain"], 7)
+    rows = _pi(s, d).join(_margin(s, d), "node").select(F.round("pi", 12).alias("x"), F.round("inflow", 4).alias("y"))
+    return out(stats.spearman_all(rows, "x", "y").select((1 - F.col("ic")).alias("gain")), [], ["gain"], 7)
 
 
 @query(final(SYM, "SELECT round(sum(CASE WHEN a.community = b.community THEN w ELSE 0 END) / sum(w), 8) AS coherence FROM top JOIN lab a ON a.node = src JOIN lab b ON b.node = dst"))
@@ -728,14 +709,6 @@ def _targets(s, d):
     return walkforward.target_weights(scores, base)
 
 
-@query()
-def simulate(s, d):
-    """Value curve of the tilted portfolio; sequential by definition, so one group for each strategy."""
-    t = _targets(s, d).select(F.lit("tilt").alias("strategy"), F.col("step").alias("t"), "ticker", "w")
-    prices = _bars(s, d).select(F.col("bar_idx").alias("t"), "ticker", "o", "c")
-    return out(walkforward.simulate(prices, t), ["strategy", "t"], ["value"])
-
-
 CURVE = BARS + " cv AS (SELECT CASE WHEN ticker % 2 = 0 THEN 'even' ELSE 'odd' END AS strategy, bar_idx AS t, avg(c) AS value FROM bars GROUP BY 1, 2), cr AS (SELECT *, value / lag(value) OVER (PARTITION BY strategy ORDER BY t) - 1 AS r, value / max(value) OVER (PARTITION BY strategy ORDER BY t ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) - 1 AS dd FROM cv),"
 
 

@@ -109,11 +109,43 @@ def lift(acc: DataFrame, margin: DataFrame, mode: str = "off") -> DataFrame:
     return rows.select("src", "dst", score.alias("w")).where("w > 0")
 
 
+def union_top(edges: DataFrame, k_out: int, k_in: int, by: list[str] | None = None) -> DataFrame:
+    """Edges among the ``k_out`` best of their source or the ``k_in`` best of their sink, within each group of ``by``; ties
+    to the lower index. Each side is cut on its own, so that a hub's window is limited in every task before it is sorted."""
+    by = by or []
+    found = None
+    for end, other, k in (("src", "dst", k_out), ("dst", "src", k_in)):
+        if k:
+            place = F.row_number().over(Window.partitionBy(*by, end).orderBy(F.desc("w"), other))
+            best = edges.withColumn("place", place).where(F.col("place") <= k).select(*by, "src", "dst", "w")
+            found = best if found is None else found.unionByName(best)
+    return found.groupBy(*by, "src", "dst").agg(F.max("w").alias("w"))
+
+
 def top_k(edges: DataFrame, k_out: int = 20, k_in: int = 10) -> DataFrame:
-    """Edges among the ``k_out`` best of their source or the ``k_in`` best of their sink; ties to the lower index."""
-    out = F.row_number().over(Window.partitionBy("src").orderBy(F.desc("w"), "dst"))
-    into = F.row_number().over(Window.partitionBy("dst").orderBy(F.desc("w"), "src"))
-    return edges.where("src <> dst and w > 0").withColumns({"ko": out, "ki": into}).where((F.col("ko") <= k_out) | (F.col("ki") <= k_in)).select("src", "dst", "w")
+    """(src, dst, w): the edges off the diagonal that ``union_top`` keeps."""
+    return union_top(edges.where("src <> dst and w > 0").select("src", "dst", "w"), k_out, k_in)
+
+
+def accumulate_series(rows: DataFrame, values: list[str], end: int, half_life: float, since: int = 0) -> DataFrame:
+    """(bar_idx, node, values) on every bar from ``since`` to ``end``: each ticker's values so far, halved every ``half_life`` bars."""
+
+    def run(pdf):
+        import pandas as pd
+
+        first = int(pdf["bar_idx"].min())
+        now = np.zeros((end + 1 - first, len(values)))
+        np.add.at(now, pdf["bar_idx"].to_numpy() - first, pdf[values].to_numpy())
+        decay = 2.0 ** (-1.0 / half_life)
+        for t in range(1, len(now)):
+            now[t] += now[t - 1] * decay
+        out = pd.DataFrame(now, columns=values)
+        out.insert(0, "node", pdf["ticker"].iloc[0])
+        out.insert(0, "bar_idx", np.arange(first, end + 1))
+        return out[out["bar_idx"] >= since]
+
+    kind = "bar_idx int, node long, " + ", ".join(f"{v} double" for v in values)
+    return rows.where(F.col("bar_idx") <= end).select("bar_idx", "ticker", *values).groupBy("ticker").applyInPandas(run, kind)
 
 
 def transition(edges: DataFrame, k_out: int = 20, k_in: int = 10, margin: DataFrame | None = None, retention: float = 0.0) -> DataFrame:
@@ -144,7 +176,9 @@ def stationary(nodes: DataFrame, p: DataFrame, alpha: float = 0.85, steps: int |
 
     A graph of at most ``local_edges`` pruned edges is solved in one task with NumPy; larger ones step by step as
     DataFrames, each step cut by a checkpoint."""
-    if p.count() <= local_edges and nodes.count() <= local_edges:
+    p, nodes = p.persist(), nodes.persist()  # pruned edges and names, read again below
+    size = p.count() + nodes.count()
+    if size <= local_edges:
         # the pruned graph: checked to be small, so one task holds it
         rows = nodes.select(F.col("node").alias("src"), F.lit(None).cast("long").alias("dst"), F.lit(0.0).alias("p")).unionByName(p.select("src", "dst", "p"))
 

@@ -5,6 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from .flux import union_top
+from .stats import global_place
+
 
 def top_arcs(edges: DataFrame, n: int) -> DataFrame:
     return edges.where("src <> dst").orderBy(F.desc("w"), "src", "dst").limit(n)
@@ -12,16 +15,18 @@ def top_arcs(edges: DataFrame, n: int) -> DataFrame:
 
 def neighbours(edges: DataFrame, k: int) -> DataFrame:
     """(src, dst, w): each node's ``k`` heaviest edges out and in, each edge once."""
-    out = F.row_number().over(Window.partitionBy("src").orderBy(F.desc("w"), "dst"))
-    into = F.row_number().over(Window.partitionBy("dst").orderBy(F.desc("w"), "src"))
-    return edges.where("src <> dst").withColumns({"a": out, "b": into}).where((F.col("a") <= k) | (F.col("b") <= k)).select("src", "dst", "w")
+    return union_top(edges.where("src <> dst and w > 0").select("src", "dst", "w"), k, k)
 
 
-def subgraph(edges: DataFrame, focus: DataFrame) -> DataFrame:
-    """Edges that touch a node of ``focus`` (node) at either end."""
-    f = focus.select("node").distinct()
-    touch = edges.join(f, edges.src == f.node, "left_semi").union(edges.join(f, edges.dst == f.node, "left_semi"))
-    return touch.distinct()
+def subgraph(edges: DataFrame, focus: DataFrame, k: int) -> DataFrame:
+    """The nodes of ``focus`` (node) with each one's ``k`` strongest neighbours (by the heavier of the two directions, ties
+    to the lower index), and all of ``edges`` among them."""
+    f = F.broadcast(focus.select("node").distinct())  # a few nodes asked for
+    both = edges.select(F.col("src").alias("node"), F.col("dst").alias("other"), "w").union(edges.select("dst", "src", "w"))
+    near = both.join(f, "node", "left_semi").where("node <> other").groupBy("node", "other").agg(F.max("w").alias("w"))
+    place = F.row_number().over(Window.partitionBy("node").orderBy(F.desc("w"), "other"))
+    chosen = near.withColumn("place", place).where(F.col("place") <= k).select(F.col("other").alias("node"))
+    return induced(edges, focus.select("node").union(chosen).distinct())
 
 
 def induced(edges: DataFrame, nodes: DataFrame) -> DataFrame:
@@ -157,5 +162,5 @@ def largest_remainder(nodes: DataFrame, share: str, cells: int) -> DataFrame:
     rows = nodes.crossJoin(total).withColumn("exact", F.col(share) * cells / F.col("total"))
     rows = rows.withColumn("low", F.floor("exact").cast("long"))
     left = rows.agg((F.lit(cells) - F.sum("low")).alias("left"))
-    place = F.row_number().over(Window.orderBy(F.desc(F.round(F.col("exact") - F.col("low"), 9)), "node"))
-    return rows.withColumn("place", place).crossJoin(left).select("node", (F.col("low") + (F.col("place") <= F.col("left")).cast("long")).alias("cells"))
+    rows = global_place(rows.withColumn("over", F.round(F.col("exact") - F.col("low"), 9)), "over", ["node"], descending=True)
+    return rows.crossJoin(left).select("node", (F.col("low") + (F.col("place") <= F.col("left")).cast("long")).alias("cells"))
