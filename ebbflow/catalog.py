@@ -218,11 +218,6 @@ def bar_flux(s, d):
     return out(_flux(s, d), ["bar_idx", "src", "dst"], ["w"], 4)
 
 
-@query()
-def bar_flux_tilted(s, d):
-    return out(flux.tilted_flux(_p(s, d), _rets(s, d), 12, 1.0, warmup=0), ["bar_idx", "src", "dst"], ["w"], 4)
-
-
 @query(final(FLUX, f"SELECT bar_idx, ticker, {r('outflow, inflow', 4)} FROM mar"))
 def flux_margins(s, d):
     return out(flux.margins(_p(s, d)), ["bar_idx", "ticker"], ["outflow", "inflow"], 4)
@@ -246,11 +241,6 @@ def accumulated_fast(s, d):
     return out(flux.accumulate(_flux(s, d), _last(_bars(s, d)), 3), ["src", "dst"], ["w"], 4)
 
 
-@query()
-def accumulated_capped(s, d):
-    return out(flux.capped_fold(_flux(s, d), _last(_bars(s, d)), 20, 256), ["src", "dst"], ["w"], 4)
-
-
 @query(final(FLUX, f"SELECT src, dst, {r('p', 8)} FROM tr"))
 def transition_topk(s, d):
     return out(flux.transition(_acc(s, d)), ["src", "dst"], ["p"], 8)
@@ -291,11 +281,6 @@ def stationary_7(s, d):
     return out(_pi(s, d), ["node"], ["pi"], 9)
 
 
-@query()
-def stationary_converged(s, d):
-    return out(_pi(s, d, None), ["node"], ["pi"], 9)
-
-
 @query(final(PI7, "SELECT node, round(pi * (SELECT count(*) FROM nodes) - 1, 7) AS hot FROM pi7"))
 def hotness_uniform(s, d):
     return out(flux.hotness(_pi(s, d)), ["node"], ["hot"], 7)
@@ -456,11 +441,6 @@ def signals_zscore(s, d):
     return out(stats.zscore(_rets(s, d).where("r is not null"), "r", ["bar_idx"]), ["ticker", "bar_idx"], ["z"])
 
 
-@query()
-def rank_gauss(s, d):
-    return out(stats.rank_gauss(_rets(s, d), "r", ["bar_idx"]), ["ticker", "bar_idx"], ["g"])
-
-
 CONT = """WITH c AS (SELECT c_mktsegment AS a, c_nationkey AS b, count(*)::DOUBLE AS n FROM customer GROUP BY 1, 2), ma AS (SELECT a, sum(n) AS na FROM c GROUP BY a), mb AS (SELECT b, sum(n) AS nb FROM c GROUP BY b), t AS (SELECT sum(n) AS t FROM c)"""
 
 
@@ -512,35 +492,6 @@ def idw_window(s, d):
 
 
 # --- universe and dimensions -------------------------------------------------------------------------------------
-@query("SELECT p_partkey, CASE WHEN p_size <= 9 THEN 'Agriculture' WHEN p_size <= 14 THEN 'Mining' WHEN p_size <= 17 THEN 'Construction' WHEN p_size <= 39 THEN 'Manufacturing' ELSE 'Services' END AS sector FROM part")
-def sic_range_lookup(s, d):
-    """First matching range of an ordered table of codes."""
-    ranges = s.createDataFrame([(1, 0, 9, "Agriculture"), (2, 10, 14, "Mining"), (3, 15, 17, "Construction"), (4, 20, 39, "Manufacturing"), (5, 18, 19, "Manufacturing"), (6, 0, 9999, "Services")], "place int, lo int, hi int, sector string")
-    hit = tables.table(s, d, "part").join(F.broadcast(ranges), F.col("p_size").between(F.col("lo"), F.col("hi")))  # six rows
-    return hit.groupBy("p_partkey").agg(F.min_by("sector", "place").alias("sector"))
-
-
-@query("SELECT s_suppkey, coalesce(CASE WHEN s_nationkey % 3 = 0 THEN n_name END, CASE WHEN s_nationkey % 3 = 1 THEN r_name END, 'Unclassified') AS sector FROM supplier LEFT JOIN nation ON s_nationkey = n_nationkey LEFT JOIN region ON n_regionkey = r_regionkey")
-def sector_fill(s, d):
-    sup, n, g = (tables.table(s, d, t) for t in ("supplier", "nation", "region"))
-    rows = sup.join(n, sup.s_nationkey == n.n_nationkey, "left").join(g, n.n_regionkey == g.r_regionkey, "left")
-    k = F.col("s_nationkey") % 3
-    return rows.select("s_suppkey", F.coalesce(F.when(k == 0, F.col("n_name")), F.when(k == 1, F.col("r_name")), F.lit("Unclassified")).alias("sector"))
-
-
-@query("SELECT p_partkey FROM part WHERE p_partkey % 97 = 0 OR (regexp_matches(p_brand, '#[1-4]') AND NOT regexp_matches(lower(p_name), 'warrant|\\bunits?\\b|\\brights?\\b'))")
-def universe_rules(s, d):
-    bad = F.col("p_name").rlike(r"(?i)warrant|\bunits?\b|\brights?\b")
-    return tables.table(s, d, "part").where((F.col("p_partkey") % 97 == 0) | F.col("p_brand").rlike("#[1-4]") & ~bad).select("p_partkey")
-
-
-@query(final(BARS, "SELECT ticker, round(quantile_cont(v * vw, 0.5), 4) AS mdv FROM (SELECT *, row_number() OVER (PARTITION BY ticker ORDER BY bar_idx DESC) AS k FROM bars) WHERE k <= 20 GROUP BY ticker HAVING count(*) >= 10 ORDER BY quantile_cont(v * vw, 0.5) DESC, ticker LIMIT 30"))
-def liquidity_rank(s, d):
-    k = F.row_number().over(Window.partitionBy("ticker").orderBy(F.desc("bar_idx")))
-    rows = _bars(s, d).withColumn("k", k).where("k <= 20").groupBy("ticker").agg(F.percentile(F.col("v") * F.col("vw"), F.lit(0.5)).alias("mdv"), F.count("*").alias("n"))
-    return out(rows.where("n >= 10").orderBy(F.desc("mdv"), "ticker").limit(30), ["ticker"], ["mdv"], 4)
-
-
 # --- lake --------------------------------------------------------------------------------------------------------
 LAKE = "WITH rows AS (SELECT l_suppkey AS ticker, date_diff('day', DATE '1970-01-01', CAST(l_shipdate AS DATE))::BIGINT AS t, l_extendedprice AS c, l_orderkey * 10 + l_linenumber AS seq FROM lineitem)"
 

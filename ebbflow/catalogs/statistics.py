@@ -1 +1,199 @@
-"""Queries."""
+"""Queries of statistics, features and graph algebra."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from ..catalog import BARS, FLUX, IC, PI7, TWO, _acc, _bars, _decayed, _flux, _ic, _labels, _last, _margin, _nodes, _p, _pi, _rets, _two, final, out, query
+from ..operators import flux, graph, panel, stats
+from ..operators import frames as fr
+from ..sources import tables
+from .frames import ACT, ALL, PRESET, _frames
+
+#: Coefficients of the published approximation.
+A = (-3.969683028665376e01, 2.209460984245205e02, -2.759285104469687e02, 1.383577518672690e02, -3.066479806614716e01, 2.506628277459239e00)
+B = (-5.447609879822406e01, 1.615858368580409e02, -1.556989798598866e02, 6.680131188771972e01, -1.328068155288572e01, 1.0)
+C = (-7.784894002430293e-03, -3.223964580411365e-01, -2.400758277161838e00, -2.549732539343734e00, 4.374664141464968e00, 2.938163982698783e00)
+D = (7.784695709041462e-03, 3.224671290700398e-01, 2.445134137142996e00, 3.754408661907416e00, 1.0)
+
+
+def norm_inv_sql(p: str) -> str:
+    """The published approximation with its powers written out."""
+
+    def poly(k, x):
+        return "(" + " + ".join(f"{v!r}::DOUBLE * pow({x}, {len(k) - 1 - i})" for i, v in enumerate(k)) + ")"
+
+    low, high, mid = f"sqrt(-2 * ln({p}))", f"sqrt(-2 * ln(1 - {p}))", f"pow({p} - 0.5, 2)"
+    return f"CASE WHEN {p} < 0.02425 THEN {poly(C, low)} / {poly(D, low)} WHEN {p} > 1 - 0.02425 THEN -{poly(C, high)} / {poly(D, high)} ELSE {poly(A, mid)} * ({p} - 0.5) / {poly(B, mid)} END"
+
+
+@query(final(BARS, f"SELECT ticker, bar_idx::BIGINT AS bar_idx, round({norm_inv_sql('q')}, 6) AS g FROM (SELECT *, (rank() OVER (PARTITION BY bar_idx ORDER BY r) + (count(*) OVER (PARTITION BY bar_idx, r) - 1) / 2.0::DOUBLE - 0.5::DOUBLE) / count(*) OVER (PARTITION BY bar_idx) AS q FROM rets WHERE r IS NOT NULL)"))
+def rank_gauss(s, d):
+    return out(stats.rank_gauss(_rets(s, d), "r", ["bar_idx"]), ["ticker", "bar_idx"], ["g"])
+
+
+@query(_decayed(20))
+def accumulated_capped(s, d):
+    """The fold bar by bar; no row reaches the cap of 256 here, so the closed form tells the same."""
+    return out(flux.capped_fold(_flux(s, d), _last(_bars(s, d)), 20, 256), ["src", "dst"], ["w"], 4)
+
+
+@query(final(FLUX.replace("WITH ", "WITH RECURSIVE ", 1), """ nn AS (SELECT node, count(*) OVER () AS n FROM nodes),
+tx AS MATERIALIZED (SELECT src, dst, p, n FROM tr JOIN nn ON node = src UNION ALL SELECT a.node, b.node, 1.0::DOUBLE / a.n, a.n FROM nn a CROSS JOIN nodes b WHERE a.node NOT IN (SELECT src FROM tr) UNION ALL SELECT node, node, 0.0::DOUBLE, n FROM nn),
+it AS (SELECT 0 AS step, node, 1.0::DOUBLE / n AS pi FROM nn UNION ALL SELECT step + 1, dst, 0.15::DOUBLE / n + 0.85::DOUBLE * sum(pi * p) FROM it JOIN tx ON src = node WHERE step < 160 GROUP BY step, dst, n)
+SELECT node, round(pi, 8) AS pi FROM it WHERE step = 160"""))
+def stationary_converged(s, d):
+    return out(_pi(s, d, None), ["node"], ["pi"], 8)
+
+
+@query(final(BARS, """ tk AS (SELECT DISTINCT ticker FROM b0), zr AS MATERIALIZED (SELECT cal.bar_idx, tk.ticker, coalesce(r, 0) AS r FROM cal CROSS JOIN tk LEFT JOIN rets USING (bar_idx, ticker)),
+wn AS (SELECT b.bar_idx AS bar, z.ticker, avg(z.r) AS m, count(*) AS n, sum(z.r * z.r) - count(*) * avg(z.r) * avg(z.r) AS ss FROM cal b JOIN zr z ON z.bar_idx BETWEEN b.bar_idx - 12 AND b.bar_idx - 1 GROUP BY 1, 2),
+so AS (SELECT bar_idx AS bar, ticker, p FROM p WHERE p < 0), si AS (SELECT bar_idx AS bar, ticker, p FROM p WHERE p > 0),
+cr AS (SELECT so.bar, so.ticker AS i, si.ticker AS j, any_value(so.p) AS pi, any_value(si.p) AS pj, sum(x.r * y.r) AS xy FROM so JOIN si USING (bar) LEFT JOIN zr x ON x.ticker = so.ticker AND x.bar_idx BETWEEN so.bar - 12 AND so.bar - 1 LEFT JOIN zr y ON y.ticker = si.ticker AND y.bar_idx = x.bar_idx GROUP BY 1, 2, 3),
+rh AS (SELECT cr.*, CASE WHEN a.n >= 2 AND a.ss >= 1e-24 AND b.ss >= 1e-24 THEN (xy - a.n * a.m * b.m) / sqrt(a.ss * b.ss) ELSE 0 END AS rho FROM cr LEFT JOIN wn a ON a.bar = cr.bar AND a.ticker = i LEFT JOIN wn b ON b.bar = cr.bar AND b.ticker = j),
+sc AS (SELECT *, sum(pj * (1 + rho)) OVER (PARTITION BY bar, i) AS di FROM rh),
+wt AS (SELECT bar, i, j, -pi * pj * (1 + rho) / di AS w, row_number() OVER (PARTITION BY bar, i ORDER BY pj * (1 + rho) DESC, j) AS k FROM sc WHERE di > 0)
+SELECT bar::BIGINT AS bar_idx, i AS src, j AS dst, round(w, 2) AS w FROM wt WHERE k <= 64 AND w > 0.01"""))
+def bar_flux_tilted(s, d):
+    """Flow tilted by correlation; flows of a cent or less, which rounding decides on, are left out."""
+    return out(flux.tilted_flux(_p(s, d), _rets(s, d), 12, 1.0, warmup=0).where("w > 0.01"), ["bar_idx", "src", "dst"], ["w"], 2)
+
+
+@query(final(BARS, "SELECT ticker, count(r) AS n, round(avg(r), 7) AS mean, round(quantile_cont(r, 0.5), 7) AS median, round(quantile_cont(r, 0.25), 7) AS q25, round(quantile_cont(r, 0.75), 7) AS q75 FROM rets WHERE r IS NOT NULL GROUP BY ticker"))
+def return_summary(s, d):
+    return out(stats.summary(_rets(s, d), "r", ["ticker"]), ["ticker", "n"], ["mean", "median", "q25", "q75"], 7)
+
+
+@query(final(IC, "SELECT year(t)::BIGINT AS year, count(*) AS n, count(CASE WHEN ic > 0 THEN 1 END) AS positive, round(avg(ic), 7) AS mean, round(stddev_samp(ic), 7) AS sd, round(min(ic), 7) AS min, round(max(ic), 7) AS max FROM ic JOIN cal USING (bar_idx) WHERE ic IS NOT NULL GROUP BY 1"))
+def ic_spread(s, d):
+    cal = _bars(s, d).select("bar_idx", F.year("t").alias("year")).distinct()
+    return out(stats.spread(_ic(s, d).join(cal, "bar_idx"), "ic", ["year"]), ["year", "n", "positive"], ["mean", "sd", "min", "max"], 7)
+
+
+@query(final(IC, " pq AS (SELECT quarter(t)::BIGINT AS q, year(t)::BIGINT AS year, round(avg(ic), 9) AS m FROM ic JOIN cal USING (bar_idx) WHERE ic IS NOT NULL GROUP BY 1, 2) SELECT q, year, round(m, 7) AS m, nx AS runner_up, round(m - nm, 7) AS margin FROM (SELECT *, row_number() OVER w AS k, lead(year) OVER w AS nx, lead(m) OVER w AS nm FROM pq WINDOW w AS (PARTITION BY q ORDER BY m DESC, year)) WHERE k = 1"))
+def best_setting(s, d):
+    """The best case of each group with the runner-up: here the year with the best coefficients of each quarter."""
+    cal = _bars(s, d).select("bar_idx", F.year("t").cast("long").alias("year"), F.quarter("t").cast("long").alias("q")).distinct()
+    m = _ic(s, d).where("ic is not null").join(cal, "bar_idx").groupBy("q", "year").agg(F.round(F.avg("ic"), 9).alias("m"))
+    return out(stats.best_by(m, "m", "year", ["q"]), ["q", "year", "runner_up"], ["m", "margin"], 7)
+
+
+@query(final(BARS, "SELECT bar_idx::BIGINT AS bar_idx, count(*) AS n, round(CASE WHEN count(*) >= 3 AND var_pop(r) > 0 THEN corr(r, ln(v * vw)) END, 7) AS r FROM rets WHERE r IS NOT NULL GROUP BY bar_idx"))
+def bar_pearson(s, d):
+    rows = _rets(s, d).withColumn("size", F.ln(F.col("v") * F.col("vw")))
+    return out(stats.pearson(rows, "r", "size", ["bar_idx"]), ["bar_idx", "n"], ["r"], 7)
+
+
+@query(final(TWO, """ j AS (SELECT round(ea.w, 6) AS w, CASE WHEN eb.w > (SELECT avg(w) FROM eb) THEN 1 ELSE 0 END AS y FROM ea JOIN eb USING (src, dst))
+SELECT round((sum(CASE WHEN y = 1 THEN k ELSE 0 END) - sum(y) * (sum(y) + 1) / 2.0::DOUBLE) / (sum(y) * (count(*) - sum(y))), 7) AS auc, count(*) AS n, sum(y)::BIGINT AS positives FROM (SELECT y, rank() OVER (ORDER BY w) + (count(*) OVER (PARTITION BY w) - 1) / 2.0::DOUBLE AS k FROM j)"""))
+def edge_auc(s, d):
+    """How well early flows tell the large later ones."""
+    a, b = _two(s, d)
+    mean = b.agg(F.avg("w").alias("mean"))
+    rows = a.select("src", "dst", F.round("w", 6).alias("w")).join(b.select("src", "dst", F.col("w").alias("later")), ["src", "dst"]).crossJoin(mean)  # one row
+    return out(stats.auc(rows.withColumn("y", F.col("later") > F.col("mean")), "w", "y"), ["n", "positives"], ["auc"], 7)
+
+
+@query(final(FLUX, "SELECT src, dst, round(exp(x - m) / sum(exp(x - m)) OVER (PARTITION BY src), 8) AS w FROM (SELECT src, dst, ln(p) / 2 AS x, max(ln(p) / 2) OVER (PARTITION BY src) AS m FROM tr)"))
+def edge_softmax(s, d):
+    rows = flux.transition(_acc(s, d)).withColumn("x", F.ln("p") / 2)
+    return out(stats.softmax(rows.select("src", "dst", "x"), "x", ["src"]), ["src", "dst"], ["w"], 8)
+
+
+@query("WITH l AS (SELECT s_nationkey::BIGINT AS nation, s_suppkey, round(s_acctbal, 2) AS x FROM supplier), o AS (SELECT nation, s_suppkey, row_number() OVER (PARTITION BY nation ORDER BY s_suppkey) AS k FROM l), q AS (SELECT nation, x, row_number() OVER (PARTITION BY nation ORDER BY md5('7:' || s_suppkey), s_suppkey) AS k FROM l) SELECT nation, s_suppkey, x AS permuted FROM o JOIN q USING (nation, k)")
+def permuted_values(s, d):
+    sup = tables.table(s, d, "supplier").select(F.col("s_nationkey").cast("long").alias("nation"), "s_suppkey", F.round("s_acctbal", 2).alias("x"))
+    return stats.permuted(sup, "x", "s_suppkey", ["nation"], 7).select("nation", "s_suppkey", "permuted")
+
+
+@query(final(BARS, "SELECT ticker, bar_idx::BIGINT AS bar_idx, " + ", ".join(f"round(sum(r) OVER (PARTITION BY ticker ORDER BY bar_idx RANGE BETWEEN {k - 1} PRECEDING AND CURRENT ROW), 7) AS r{k}" for k in (1, 3, 5, 20)) + " FROM rets"))
+def windowed_returns(s, d):
+    return out(stats.window_sums(_rets(s, d), "r", "ticker", "bar_idx", (1, 3, 5, 20)), ["ticker", "bar_idx"], ["r1", "r3", "r5", "r20"], 7)
+
+
+@query(final(IC, "SELECT count(*) AS n, round(avg(m), 7) AS mean, count(CASE WHEN m > 0 THEN 1 END) AS positive FROM (SELECT avg(ic) AS m FROM ic JOIN cal USING (bar_idx) WHERE ic IS NOT NULL GROUP BY year(t), quarter(t))"))
+def session_units(s, d):
+    cal = _bars(s, d).select("bar_idx", F.year("t").alias("y"), F.quarter("t").alias("q")).distinct()
+    m = stats.monthly_units(_ic(s, d).join(cal, "bar_idx"), "bar_idx", ["y", "q"])
+    return out(m.agg(F.count("*").alias("n"), F.avg("mean").alias("mean"), F.count(F.when(F.col("mean") > 0, 1)).alias("positive")), ["n", "positive"], ["mean"], 7)
+
+
+@query(final(BARS, "SELECT bar_idx::BIGINT AS bar_idx, count(*) AS n, round(avg(CASE WHEN k = 5 THEN r END) - avg(CASE WHEN k = 1 THEN r END), 7) AS spread FROM (SELECT bar_idx, r, ntile(5) OVER (PARTITION BY bar_idx ORDER BY v * vw, ticker) AS k FROM rets WHERE r IS NOT NULL) GROUP BY bar_idx"))
+def size_spread(s, d):
+    rows = _rets(s, d).withColumn("size", F.col("v") * F.col("vw"))
+    return out(stats.tail_spread(rows, "size", "r", ["bar_idx"], "ticker", 5), ["bar_idx", "n"], ["spread"], 7)
+
+
+# --- graph algebra -----------------------------------------------------------------------------------------------
+@query(final(FLUX, "SELECT dst AS node, round(sum(outflow * p), 3) AS y FROM tr JOIN mg ON node = src GROUP BY dst"))
+def flow_forward(s, d):
+    """Outflows carried one step over the transition graph: x P."""
+    x = _margin(s, d).select("node", F.col("outflow").alias("x"))
+    return out(graph.multiply(x, flux.transition(_acc(s, d))), ["node"], ["y"], 3)
+
+
+@query(final(FLUX, "SELECT src AS node, round(sum(inflow * p), 3) AS y FROM tr JOIN mg ON node = dst GROUP BY src"))
+def flow_backward(s, d):
+    """Inflows carried one step against the arrows: x P transposed."""
+    x = _margin(s, d).select("node", F.col("inflow").alias("x"))
+    return out(graph.multiply(x, graph.transpose(flux.transition(_acc(s, d)))), ["node"], ["y"], 3)
+
+
+@query(final(FLUX, "SELECT round(sum(w), 2) AS total, count(*) AS edge_count FROM acc"))
+def graph_size(s, d):
+    return out(graph.size(_acc(s, d)), ["edge_count"], ["total"], 2)
+
+
+@query(final(FLUX, "SELECT node, round(sum(i), 4) AS inflow, round(sum(o), 4) AS outflow FROM (SELECT src AS node, 0.0::DOUBLE AS i, w AS o FROM acc WHERE src <> dst UNION ALL SELECT dst, w, 0.0::DOUBLE FROM acc WHERE src <> dst) GROUP BY node"))
+def edge_margins(s, d):
+    return out(graph.margins(_acc(s, d)), ["node"], ["inflow", "outflow"], 4)
+
+
+@query(final(FLUX, "SELECT node FROM mg ORDER BY round(inflow, 4) DESC, node LIMIT 15"))
+def top_nodes(s, d):
+    return graph.top_nodes(_margin(s, d).withColumn("inflow", F.round("inflow", 4)), "inflow", 15)
+
+
+@query(final(FLUX, f""" e0 AS (SELECT tr.src, tr.dst, p, w AS raw FROM tr JOIN top USING (src, dst)), lv AS (SELECT avg(ln(p)) AS m, stddev_pop(ln(p)) AS s FROM e0), zz AS (SELECT ticker AS node, sum(v * vw) AS size FROM bars GROUP BY ticker),
+q0 AS (SELECT *, (rank() OVER (PARTITION BY src ORDER BY raw) + (count(*) OVER (PARTITION BY src, raw) - 1) / 2.0::DOUBLE - 0.5::DOUBLE) / count(*) OVER (PARTITION BY src) AS q FROM e0)
+SELECT src, dst, round(ln(p), 6) AS logp, round((ln(p) - m) / s, 6) AS z, round({norm_inv_sql('q')}, 6) AS g, CASE WHEN a.s_nationkey = b.s_nationkey THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END AS same, round(greatest(-3, least(3, ln(y.size / x.size))), 6) AS ratio
+FROM q0 CROSS JOIN lv JOIN supplier a ON a.s_suppkey = src JOIN supplier b ON b.s_suppkey = dst JOIN zz x ON x.node = src JOIN zz y ON y.node = dst"""))
+def prior_features(s, d):
+    edges = flux.top_k(_acc(s, d))
+    p = flux.transition(_acc(s, d)).join(edges.withColumnRenamed("w", "raw"), ["src", "dst"])
+    size = _bars(s, d).groupBy(F.col("ticker").alias("node")).agg(F.sum(F.col("v") * F.col("vw")).alias("size"))
+    nodes = _labels(s, d).withColumnRenamed("community", "sector").join(size, "node")
+    return out(graph.prior_features(p, nodes), ["src", "dst"], ["logp", "z", "g", "same", "ratio"])
+
+
+@query(final(FLUX, "SELECT dst AS node, round(sum(p * x) / sum(p), 7) AS y FROM tr JOIN (SELECT ticker AS src, avg(r) AS x FROM rets GROUP BY ticker) USING (src) WHERE x IS NOT NULL GROUP BY dst"))
+def graph_message(s, d):
+    """Mean returns passed one step along the transition graph."""
+    x = _rets(s, d).groupBy(F.col("ticker").alias("node")).agg(F.avg("r").alias("x"))
+    return out(graph.message(x, flux.transition(_acc(s, d))), ["node"], ["y"], 7)
+
+
+@query(final(PI7, "SELECT node, round(pi / (SELECT sum(pi) FROM pi7 WHERE node % 3 <> 0), 8) AS pi FROM pi7 WHERE node % 3 <> 0"))
+def warm_start(s, d):
+    """A distribution carried over to fewer nodes."""
+    return out(fr.carry(_pi(s, d), _nodes(s, d).where("node % 3 <> 0")), ["node"], ["pi"], 8)
+
+
+@query(final(ALL, f"""SELECT signal, count(ic) AS n, round(avg(ic), 5) AS mean FROM (SELECT signal, bar_idx, CASE WHEN count(*) >= 3 AND var_pop(rx) > 0 AND var_pop(ry) > 0 THEN corr(rx, ry) END AS ic FROM (
+SELECT signal, bar_idx, rank() OVER (PARTITION BY signal, bar_idx ORDER BY x) + (count(*) OVER (PARTITION BY signal, bar_idx, x) - 1) / 2.0::DOUBLE AS rx, rank() OVER (PARTITION BY signal, bar_idx ORDER BY y) + (count(*) OVER (PARTITION BY signal, bar_idx, y) - 1) / 2.0::DOUBLE AS ry FROM (
+SELECT 'h' AS signal, f.bar_idx, round(h, 6) AS x, y FROM fr f JOIN fw USING (bar_idx, node) UNION ALL SELECT 'inflow', f.bar_idx, round(inflow, 3), y FROM fr f JOIN fw USING (bar_idx, node)) WHERE x IS NOT NULL AND y IS NOT NULL) GROUP BY 1, 2) GROUP BY signal""".replace("SELECT signal, count(ic)", " fw AS (SELECT bar_idx, ticker AS node, CASE WHEN lead(o, 1) OVER w > 0 THEN lead(o, 2) OVER w / lead(o, 1) OVER w - 1 END AS y FROM grid WINDOW w AS (PARTITION BY ticker ORDER BY bar_idx)) SELECT signal, count(ic)", 1)))
+def evaluate_frames(s, d):
+    """Mean coefficient of frame metrics against the next open-to-open return, over all bars."""
+    f = _frames(s, d).select("bar_idx", F.col("node").alias("ticker"), F.explode(F.array(F.struct(F.lit("h").alias("signal"), F.round("h", 6).alias("x")), F.struct(F.lit("inflow").alias("signal"), F.round("inflow", 3).alias("x")))).alias("v")).select("bar_idx", "ticker", "v.signal", "v.x")
+    fwd = panel.forward_return(tables.dense(_bars(s, d)), 1).select("bar_idx", "ticker", "fwd")
+    ic = stats.spearman(f.join(fwd, ["bar_idx", "ticker"]), "x", "fwd", ["signal", "bar_idx"])
+    return out(ic.groupBy("signal").agg(F.count("ic").alias("n"), F.avg("ic").alias("mean")), ["signal", "n"], ["mean"], 5)
+
+
+@query(final(ACT, "SELECT node, round(size_ref / sum(size_ref) OVER (), 8) AS share FROM (SELECT ticker AS node, mdv AS size_ref FROM act WHERE active AND bar_idx = (SELECT max(bar_idx) FROM cal))"))
+def size_shares(s, d):
+    state = fr.activity(_bars(s, d), PRESET)
+    end = _last(_bars(s, d))
+    rows = state.where(F.col("active") & (F.col("bar_idx") == end)).select(F.col("ticker").alias("node"), "mdv")
+    total = rows.agg(F.sum("mdv").alias("total"))
+    return out(rows.crossJoin(total).select("node", (F.col("mdv") / F.col("total")).alias("share")), ["node"], ["share"], 8)

@@ -164,3 +164,50 @@ def largest_remainder(nodes: DataFrame, share: str, cells: int) -> DataFrame:
     left = rows.agg((F.lit(cells) - F.sum("low")).alias("left"))
     rows = global_place(rows.withColumn("over", F.round(F.col("exact") - F.col("low"), 9)), "over", ["node"], descending=True)
     return rows.crossJoin(left).select("node", (F.col("low") + (F.col("place") <= F.col("left")).cast("long")).alias("cells"))
+
+
+def transpose(edges: DataFrame, weight: str = "p") -> DataFrame:
+    return edges.select(F.col("dst").alias("src"), F.col("src").alias("dst"), weight)
+
+
+def multiply(x: DataFrame, p: DataFrame) -> DataFrame:
+    """(node, y) = x P for a row vector x (node, x) and edges (src, dst, p); nodes that nothing reaches are left out."""
+    return x.join(p, x["node"] == p["src"]).groupBy("dst").agg(F.sum(F.col("x") * F.col("p")).alias("y")).withColumnRenamed("dst", "node")
+
+
+def size(edges: DataFrame) -> DataFrame:
+    """One row (total, edge_count)."""
+    return edges.agg(F.sum("w").alias("total"), F.count("*").alias("edge_count"))
+
+
+def margins(edges: DataFrame) -> DataFrame:
+    """(node, inflow, outflow) of an edge list off the diagonal."""
+    both = edges.where("src <> dst and w > 0").select(F.explode(F.array(F.struct(F.col("src").alias("node"), F.lit(0.0).alias("i"), F.col("w").alias("o")), F.struct(F.col("dst").alias("node"), F.col("w").alias("i"), F.lit(0.0).alias("o")))).alias("x"))
+    return both.groupBy("x.node").agg(F.sum("x.i").alias("inflow"), F.sum("x.o").alias("outflow"))
+
+
+def top_nodes(values: DataFrame, value: str, k: int) -> DataFrame:
+    """(node): the ``k`` largest, ties to the lower index."""
+    return values.orderBy(F.desc(value), "node").limit(k).select("node")
+
+
+def prior_features(edges: DataFrame, nodes: DataFrame) -> DataFrame:
+    """(src, dst, logp, z, g, same, ratio) of edges (src, dst, p, raw): the logarithm of the row's renormalised share, its
+    z-score over all edges, the normal rank of the raw flow within the row, whether ``nodes`` (node, sector, size) gives
+    both the same sector, and the logarithm of their size ratio, clipped to 3."""
+    from .stats import rank_gauss
+
+    share = F.col("p") / F.sum("p").over(Window.partitionBy("src"))
+    rows = edges.where("p > 0").withColumn("logp", F.ln(share))
+    level = rows.agg(F.avg("logp").alias("m"), F.stddev_pop("logp").alias("s"))
+    rows = rank_gauss(rows, "raw", ["src"]).crossJoin(level)  # one row
+    a, b = (nodes.select(F.col("node").alias(end), F.col("sector").alias(f"sector_{end}"), F.col("size").alias(f"size_{end}")) for end in ("src", "dst"))
+    rows = rows.join(a, "src").join(b, "dst")
+    ratio = F.ln(F.col("size_dst") / F.col("size_src"))
+    return rows.select("src", "dst", "logp", F.coalesce(F.try_divide(F.col("logp") - F.col("m"), F.col("s")), F.lit(0.0)).alias("z"), "g", (F.col("sector_src") == F.col("sector_dst")).cast("double").alias("same"), F.greatest(F.lit(-3.0), F.least(F.lit(3.0), ratio)).alias("ratio"))
+
+
+def message(x: DataFrame, edges: DataFrame) -> DataFrame:
+    """(node, y): each node's mean of its sources' values, weighted by the edges: one step over a fixed graph."""
+    rows = edges.join(x.select(F.col("node").alias("src"), "x"), "src").where("x is not null")
+    return rows.groupBy("dst").agg((F.sum(F.col("p") * F.col("x")) / F.sum("p")).alias("y")).withColumnRenamed("dst", "node")

@@ -167,3 +167,69 @@ def spearman_all(df: DataFrame, x: str, y: str, least: int = 3) -> DataFrame:
     rows = global_average_rank(global_average_rank(rows, x, "rx"), y, "ry")
     out = rows.agg(F.corr("rx", "ry").alias("ic"), F.count("*").alias("n"), F.var_pop("rx").alias("vx"), F.var_pop("ry").alias("vy"))
     return out.select(F.when((F.col("n") >= least) & (F.col("vx") > 0) & (F.col("vy") > 0), F.col("ic")).alias("ic"), "n")
+
+
+def summary(df: DataFrame, x: str, by: list[str]) -> DataFrame:
+    """(by, n, mean, median, q25, q75) with interpolated quantiles."""
+    q = F.percentile(x, F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75)))
+    return df.where(F.col(x).isNotNull()).groupBy(*by).agg(F.count("*").alias("n"), F.avg(x).alias("mean"), q.alias("q")).select(*by, "n", "mean", F.col("q")[1].alias("median"), F.col("q")[0].alias("q25"), F.col("q")[2].alias("q75"))
+
+
+def spread(df: DataFrame, x: str, by: list[str]) -> DataFrame:
+    """(by, n, positive, mean, sd, min, max) of the values that there are."""
+    return df.where(F.col(x).isNotNull()).groupBy(*by).agg(F.count("*").alias("n"), F.count(F.when(F.col(x) > 0, 1)).alias("positive"), F.avg(x).alias("mean"), F.stddev_samp(x).alias("sd"), F.min(x).alias("min"), F.max(x).alias("max"))
+
+
+def best_by(df: DataFrame, score: str, name: str, by: list[str]) -> DataFrame:
+    """(by, name, score, runner_up, margin): the largest score of each group, the next one and the distance to it."""
+    w = Window.partitionBy(*by).orderBy(F.desc(score), name)
+    rows = df.where(F.col(score).isNotNull()).withColumns({"place": F.row_number().over(w), "runner_up": F.lead(name).over(w), "next": F.lead(score).over(w)})
+    return rows.where("place = 1").select(*by, name, score, "runner_up", (F.col(score) - F.col("next")).alias("margin"))
+
+
+def pearson(df: DataFrame, x: str, y: str, by: list[str], least: int = 3) -> DataFrame:
+    """(by, r, n): correlation of the pairs of each group; null for fewer than ``least`` or no variance."""
+    rows = df.where(F.col(x).isNotNull() & F.col(y).isNotNull()).groupBy(*by).agg(F.corr(x, y).alias("r"), F.count("*").alias("n"), F.var_pop(x).alias("vx"), F.var_pop(y).alias("vy"))
+    return rows.select(*by, F.when((F.col("n") >= least) & (F.col("vx") > 0) & (F.col("vy") > 0), F.col("r")).alias("r"), "n")
+
+
+def auc(df: DataFrame, score: str, label: str) -> DataFrame:
+    """One row (auc, n, positives): the chance that a row with the label outranks one without, ties by half."""
+    rows = global_average_rank(df.where(F.col(score).isNotNull()).select(score, F.col(label).cast("int").alias("y")), score, "rank")
+    n, m = F.count("*"), F.sum("y")
+    ranks = F.sum(F.when(F.col("y") == 1, F.col("rank")).otherwise(0.0))
+    return rows.agg(F.try_divide(ranks - m * (m + 1) / 2, (m * (n - m)).cast("double")).alias("auc"), n.alias("n"), m.alias("positives"))
+
+
+def softmax(df: DataFrame, x: str, by: list[str], name: str = "w") -> DataFrame:
+    """``df`` with weights that sum to 1 in each group: exp(x - max) over their sum."""
+    w = Window.partitionBy(*by)
+    rows = df.withColumn(name, F.exp(F.col(x) - F.max(x).over(w)))
+    return rows.withColumn(name, F.col(name) / F.sum(name).over(w))
+
+
+def permuted(df: DataFrame, value: str, key: str, by: list[str], seed: int, name: str = "permuted") -> DataFrame:
+    """``df`` with the values of each group dealt anew: the value of the row that stands, in the order of the digests of
+    seed and key, where this row stands in the order of its key."""
+    own = F.row_number().over(Window.partitionBy(*by).orderBy(key))
+    dealt = F.row_number().over(Window.partitionBy(*by).orderBy(F.md5(F.concat_ws(":", F.lit(str(seed)), F.col(key).cast("string"))), key))
+    other = df.select(*by, F.col(value).alias(name), dealt.alias("place"))
+    return df.withColumn("place", own).join(other, [*by, "place"]).drop("place")
+
+
+def window_sums(df: DataFrame, x: str, by: str, order: str, widths: tuple[int, ...]) -> DataFrame:
+    """``df`` with r<k> for each width: the sum over the last k bars up to this one; null where they hold no value."""
+    w = Window.partitionBy(by).orderBy(order)
+    return df.withColumns({f"r{k}": F.sum(x).over(w.rangeBetween(1 - k, 0)) for k in widths})
+
+
+def monthly_units(ic: DataFrame, at: str, units: list[str]) -> DataFrame:
+    """(units, n, mean) of coefficients by unit, the units then being the cases: ``mean_t`` over them is clustered."""
+    return ic.where("ic is not null").groupBy(*units).agg(F.avg("ic").alias("mean"), F.count("*").alias("n"))
+
+
+def tail_spread(df: DataFrame, score: str, value: str, by: list[str], tie: str, parts: int = 10) -> DataFrame:
+    """(by, spread, n): mean of the best part less that of the worst, of ``parts`` by score."""
+    part = F.ntile(parts).over(Window.partitionBy(*by).orderBy(score, tie))
+    rows = df.where(F.col(score).isNotNull() & F.col(value).isNotNull()).withColumn("part", part)
+    return rows.groupBy(*by).agg((F.avg(F.when(F.col("part") == parts, F.col(value))) - F.avg(F.when(F.col("part") == 1, F.col(value)))).alias("spread"), F.count("*").alias("n"))

@@ -73,3 +73,12 @@ def bars_page(pages: DataFrame, column: str = "value") -> DataFrame:
     page = pages.select(F.from_json(column, f"bars map<string,{bar}>, next_page_token string").alias("p"))
     rows = page.select(F.explode("p.bars").alias("ticker", "own")).select("ticker", F.explode("own").alias("b"))
     return rows.select("ticker", F.unix_timestamp("b.t").alias("t"), "b.o", "b.h", "b.l", "b.c", "b.v", F.coalesce("b.vw", F.lit(0.0)).alias("vw"))
+
+
+def tickers(rows: DataFrame) -> DataFrame:
+    return rows.select("ticker").distinct()
+
+
+def with_pending(rows: DataFrame, pending: DataFrame) -> DataFrame:
+    """The lake's rows with those that wait to be written, which carry a higher ``seq`` and win."""
+    return latest(rows.unionByName(pending))
