@@ -593,17 +593,6 @@ def quarter_pricing(s, d):
     return out(holdings.quarter_pricing(tables.holdings(s, d)), ["quarter", "ticker", "holders"], ["price"], 8)
 
 
-@query(final(HOLD, """ x AS (SELECT quarter, cik, ticker, shares, CASE WHEN cik % 7 = 0 THEN value_usd * 1000 ELSE value_usd END AS value_usd FROM hold),
-lp AS (SELECT *, log10(value_usd / shares) AS lp FROM x WHERE shares > 0 AND value_usd > 0),
-cs AS (SELECT quarter, ticker, quantile_cont(lp, 0.5) AS mid FROM lp GROUP BY quarter, ticker HAVING count(*) >= 5),
-vt AS (SELECT quarter, cik, (round((lp - mid) / 3) * 3)::BIGINT AS k, count(*) AS n FROM lp JOIN cs USING (quarter, ticker) GROUP BY 1, 2, 3),
-bs AS (SELECT *, sum(n) OVER (PARTITION BY quarter, cik) AS al, row_number() OVER (PARTITION BY quarter, cik ORDER BY n DESC, k) AS place FROM vt)
-SELECT quarter, cik, CASE WHEN n >= 0.6 * al THEN k ELSE 0 END AS decades FROM bs WHERE place = 1"""))
-def unit_consensus(s, d):
-    h = tables.holdings(s, d).withColumn("value_usd", F.when(F.col("cik") % 7 == 0, F.col("value_usd") * 1000).otherwise(F.col("value_usd")))
-    return out(holdings.unit_scale(h), ["quarter", "cik", "decades"])
-
-
 FILED = "WITH f AS (SELECT o_custkey AS cik, year(o_orderdate) || 'Q' || quarter(o_orderdate) AS period, o_orderdate AS filed, o_orderkey AS accession, CASE substr(o_orderpriority, 1, 1) WHEN '1' THEN 'original' WHEN '2' THEN 'restatement' WHEN '3' THEN 'new holdings' ELSE 'original' END AS kind FROM orders), n AS (SELECT *, row_number() OVER (PARTITION BY cik, period ORDER BY filed, accession) AS n FROM f), b AS (SELECT cik, period, max(n) AS base FROM n WHERE kind <> 'new holdings' GROUP BY 1, 2)"
 
 

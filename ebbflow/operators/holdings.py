@@ -5,28 +5,132 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.scalar import clean_cusip, decades, rescale
+from .graph import margins, top_overlap
+from .stats import sparse_pair_spearman, spearman_all
 
-def changes(holdings: DataFrame, previous: str, current: str) -> DataFrame:
-    """(cik, ticker, d): change of shares, at the value per share over all holders of both quarters."""
+
+#: How far an implied price may be off a known one, and what shares filed at no value may be worth.
+PRICE_OFF, ZERO_VALUE = 100.0, 1e6
+#: Ratio from which a change of basis counts as a split, and what confirms one.
+SPLIT_SNAP, SPLIT_CONFIRM, SPLIT_EXACT, SPLIT_HOLDERS, SPLIT_MATCHES, SPLIT_SHARE = 1.08, 1.1, 1.01, 4, 2, 0.3
+
+
+def filed_rows(info: DataFrame) -> DataFrame:
+    """Rows (kind, put_call, cusip, ...) that count: shares, neither put nor call, with an identifier in upper case."""
+    fine = (F.upper(F.trim(F.coalesce("kind", F.lit("")))) == "SH") & (F.trim(F.coalesce("put_call", F.lit(""))) == "")
+    return info.where(fine).withColumn("cusip", clean_cusip(F.col("cusip"))).where("cusip <> ''")
+
+
+def amendment_kind(form, is_amendment, amendment_type):
+    """keep, replace, add or unknown of a filing, as a column; null for other forms."""
+    amends = (form == "13F-HR/A") | (F.upper(F.trim(F.coalesce(is_amendment, F.lit("")))) == "Y")
+    t = F.upper(F.trim(F.coalesce(amendment_type, F.lit(""))))
+    kind = F.when(~amends, "keep").when(t == "RESTATEMENT", "replace").when(t == "NEW HOLDINGS", "add").otherwise("unknown")
+    return F.when(form.isin("13F-HR", "13F-HR/A"), kind)
+
+
+def apply_amendments(filings: DataFrame) -> DataFrame:
+    """(accession, kind) of the filings (cik, period, filed, accession, kind) to use: the latest original or restatement of
+    each (cik, period) and the additions after it; additions alone where there is none. Unknown kinds are skipped."""
+    w = Window.partitionBy("cik", "period").orderBy("filed", "accession")
+    rows = filings.where(F.col("kind").isin("keep", "replace", "add")).withColumn("n", F.row_number().over(w))
+    base = F.max(F.when(F.col("kind") != "add", F.col("n"))).over(Window.partitionBy("cik", "period"))
+    return rows.withColumn("base", base).where("base is null or n >= base").select("accession", "kind")
+
+
+def aggregate(rows: DataFrame) -> DataFrame:
+    """(quarter, cik, cusip, issuer, shares, value_usd): sums, with the issuer of the first row by ``place``."""
+    return rows.groupBy("quarter", "cik", "cusip").agg(F.min_by("issuer", "place").alias("issuer"), F.sum("shares").alias("shares"), F.sum("value_usd").alias("value_usd"))
+
+
+def wanted(rows: DataFrame, least: float) -> DataFrame:
+    """(cusip, value, wanted): value of each identifier, and whether one of its rows reaches ``least``."""
+    own = rows.withColumn("cusip", clean_cusip(F.col("cusip"))).where("cusip <> '' and value_usd is not null")
+    return own.groupBy("cusip").agg(F.sum("value_usd").alias("value"), (F.max("value_usd") >= least).alias("wanted"))
+
+
+def mapped(rows: DataFrame, mapping: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Rows (cik, cusip, shares, value_usd) with their ticker, by the last (``place``) mapping that has one; and one row
+    (total_value, dropped_value, bad_rows). A row without a number is bad."""
+    known = mapping.where("ticker is not null and ticker <> ''").groupBy("cusip").agg(F.max_by("ticker", "place").alias("ticker"))
+    bad = F.col("cik").isNull() | F.col("shares").isNull() | F.col("value_usd").isNull() | F.isnan("shares") | F.isnan("value_usd")
+    both = rows.join(known, "cusip", "left").withColumn("bad", bad)
+    value = F.when(~F.col("bad"), F.col("value_usd")).otherwise(0.0)
+    told = both.agg(F.sum(value).alias("total_value"), F.sum(F.when(F.col("ticker").isNull(), value).otherwise(0.0)).alias("dropped_value"), F.count(F.when(F.col("bad"), 1)).alias("bad_rows"))
+    return both.where(~F.col("bad") & F.col("ticker").isNotNull()).select("cik", "ticker", "shares", "value_usd"), told
+
+
+def changes(holdings: DataFrame, previous: str, current: str, pricing: DataFrame | None = None) -> DataFrame:
+    """(cik, ticker, d, out_of_line, skipped): each manager's change in dollars. ``pricing`` (ticker, price, ratio) gives a
+    known price and split ratio; positions whose implied price is far off it on either side are out of line. Without a
+    known price it is the position's own."""
     h = holdings.where(F.col("quarter").isin(previous, current))
-    price = h.groupBy("ticker").agg((F.sum("value_usd") / F.sum("shares")).alias("price"))
-    sign = F.when(F.col("quarter") == current, F.col("shares")).otherwise(-F.col("shares"))
-    return h.groupBy("cik", "ticker").agg(F.sum(sign).alias("ds")).join(price, "ticker").select("cik", "ticker", (F.col("ds") * F.col("price")).alias("d"))
+    now = F.col("quarter") == current
+    side = [F.sum(F.when(now if c else ~now, F.col(v)).otherwise(0.0)).alias(f"{v}_{'cur' if c else 'prev'}") for c in (True, False) for v in ("shares", "value_usd")]
+    rows = h.groupBy("cik", "ticker").agg(*side)
+    if pricing is None:
+        price = h.groupBy("ticker").agg((F.sum("value_usd") / F.sum("shares")).alias("price"))
+        return rows.join(price, "ticker").select("cik", "ticker", ((F.col("shares_cur") - F.col("shares_prev")) * F.col("price")).alias("d"))
+    rows = rows.join(pricing.select("ticker", "price", "ratio"), "ticker", "left").withColumn("ratio", F.coalesce("ratio", F.lit(1.0)))
+    known = F.coalesce(F.col("price") > 0, F.lit(False))
 
+    def off(tag, expect):
+        sh, val = F.col(f"shares_{tag}"), F.col(f"value_usd_{tag}")
+        return F.when(sh > 0, F.when(val > 0, F.abs(F.ln(val / sh / expect)) > F.ln(F.lit(PRICE_OFF))).otherwise(sh * expect > ZERO_VALUE)).otherwise(False)
 
-def observed_flows(holdings: DataFrame, previous: str, current: str) -> DataFrame:
+    wrong = known & (off("cur", F.col("price")) | (F.col("ratio") > 0) & off("prev", F.col("price") * F.col("ratio")))
+    own = F.when((F.col("shares_cur") > 0) & (F.col("value_usd_cur") > 0), F.col("value_usd_cur") / F.col("shares_cur")).when((F.col("shares_prev") > 0) & (F.col("ratio") > 0) & (F.col("value_usd_prev") > 0), F.col("value_usd_prev") / (F.col("ratio") * F.col("shares_prev")))
+    price = F.when(known, F.col("price")).otherwise(own)
+    size = F.abs("value_usd_cur") + F.abs("value_usd_prev")
+    rows = rows.withColumns({"wrong": F.coalesce(wrong, F.lit(False)), "px": price})
+    return rows.select("cik", "ticker", F.when(~F.col("wrong") & (F.col("px") > 0), (F.col("shares_cur") - F.col("ratio") * F.col("shares_prev")) * F.col("px")).alias("d"), F.when(F.col("wrong"), size).alias("out_of_line"), F.when(~F.col("wrong") & ~F.coalesce(F.col("px") > 0, F.lit(False)), size).alias("skipped"))
+
+
+def paired(d: DataFrame) -> DataFrame:
+    """``d`` (cik, ticker, d) with so and si, what its manager cuts and adds in all."""
+    w = Window.partitionBy("cik")
+    return d.withColumns({"so": F.sum(F.greatest(-F.col("d"), F.lit(0.0))).over(w), "si": F.sum(F.greatest("d", F.lit(0.0))).over(w)})
+
+
+def pair_flows(d: DataFrame) -> DataFrame:
     """(src, dst, w): within each manager, what is cut pays for what is added: out_i in_j paired / (sum out sum in).
 
     A manager's cuts and adds are its own positions; pairs stay within managers and are summed before the shuffle."""
-    d = changes(holdings, previous, current)
-    w = Window.partitionBy("cik")
-    rows = d.withColumns({"so": F.sum(F.greatest(-F.col("d"), F.lit(0.0))).over(w), "si": F.sum(F.greatest("d", F.lit(0.0))).over(w)}).where("so > 0 and si > 0")
+    rows = paired(d).where("so > 0 and si > 0")
     out = rows.where("d < 0").select("cik", F.col("ticker").alias("src"), (-F.col("d")).alias("x"), "so", "si")
     into = rows.where("d > 0").select("cik", F.col("ticker").alias("dst"), F.col("d").alias("y"))
     flow = F.col("x") * F.col("y") * F.least("so", "si") / (F.col("so") * F.col("si"))
     return out.join(into, "cik").groupBy("src", "dst").agg(F.sum(flow).alias("w"))
 
 
+def observed_flows(holdings: DataFrame, previous: str, current: str) -> DataFrame:
+    """(src, dst, w) of all names, at the value per share over all holders of both quarters."""
+    return pair_flows(changes(holdings, previous, current))
+
+
+def node_set(holdings: DataFrame, previous: str, current: str, n: int) -> DataFrame:
+    """(ticker): the ``n`` largest names by value over both quarters, ties to the smaller name."""
+    value = holdings.where(F.col("quarter").isin(previous, current)).groupBy("ticker").agg(F.round(F.sum("value_usd"), 4).alias("value"))
+    return value.orderBy(F.desc("value"), "ticker").limit(n).select("ticker")
+
+
+def observed(holdings: DataFrame, previous: str, current: str, pricing: DataFrame, top_n: int, prune: float = 1e-9) -> tuple[DataFrame, DataFrame]:
+    """The flows (src, dst, w) between the ``top_n`` largest names, less those of ``prune`` of all that is paired or less;
+    and one row (managers, paired, unpaired_in, unpaired_out, outside_in, outside_out, out_of_line, out_of_line_value,
+    skipped_value)."""
+    every = changes(holdings, previous, current, pricing)
+    nodes = node_set(holdings, previous, current, top_n).withColumn("inside", F.lit(True))
+    d = every.join(F.broadcast(nodes), "ticker", "left")  # top_n names
+    inner = d.where("inside and d <> 0")
+    per = inner.groupBy("cik").agg(F.sum(F.greatest(-F.col("d"), F.lit(0.0))).alias("so"), F.sum(F.greatest("d", F.lit(0.0))).alias("si"))
+    sums = per.agg(F.sum(F.least("so", "si")).alias("paired"), F.sum(F.col("si") - F.least("so", "si")).alias("unpaired_in"), F.sum(F.col("so") - F.least("so", "si")).alias("unpaired_out"))
+    outer = F.col("inside").isNull() & (F.col("d") != 0)
+    rest = d.agg(F.count_distinct("cik").alias("managers"), F.coalesce(F.sum(F.when(outer & (F.col("d") > 0), F.col("d"))), F.lit(0.0)).alias("outside_in"), F.coalesce(F.sum(F.when(outer & (F.col("d") < 0), -F.col("d"))), F.lit(0.0)).alias("outside_out"), F.count("out_of_line").alias("out_of_line"), F.coalesce(F.sum("out_of_line"), F.lit(0.0)).alias("out_of_line_value"), F.coalesce(F.sum("skipped"), F.lit(0.0)).alias("skipped_value"))
+    edges = pair_flows(inner.select("cik", "ticker", "d")).crossJoin(sums.select("paired")).where(F.col("w") > prune * F.col("paired")).select("src", "dst", "w")  # one row
+    return edges, rest.crossJoin(sums)
+
+
 def amendment_base(filings: DataFrame) -> DataFrame:
     """Filings that count: per (cik, period) the latest original or restatement and the additions after it."""
     w = Window.partitionBy("cik", "period").orderBy("filed", "accession")
@@ -35,16 +139,32 @@ def amendment_base(filings: DataFrame) -> DataFrame:
     return rows.withColumn("base", base).where((F.col("n") == F.col("base")) | (F.col("n") > F.col("base")) & (F.col("kind") == "new holdings")).drop("n", "base")
 
 
-def unit_scale(holdings: DataFrame, least_holders: int = 5, agreement: float = 0.6) -> DataFrame:
-    """(quarter, cik, decades): powers of ten, in thousands, by which a manager's values are off the consensus price."""
-    lp = F.log10(F.col("value_usd") / F.col("shares"))
+def unit_scale(holdings: DataFrame, least_holders: int = 5, least_rows: int = 5, agreement: float = 0.6) -> DataFrame:
+    """(quarter, cik, decades): powers of ten by which a manager's values are off the consensus price.
+
+    Managers whose median deviation sits at a power of a thousand with most of their rows are flagged against the median
+    price of each name; then the consensus is taken without them, and the flags against it count."""
+    lp = F.ln(F.col("value_usd") / F.col("shares"))
     rows = holdings.where("shares > 0 and value_usd > 0").withColumn("lp", lp)
-    consensus = rows.groupBy("quarter", "ticker").agg(F.percentile("lp", F.lit(0.5)).alias("mid"), F.count("*").alias("holders")).where(F.col("holders") >= least_holders)
-    off = rows.join(consensus, ["quarter", "ticker"]).withColumn("k", (F.round((F.col("lp") - F.col("mid")) / 3) * 3).cast("int"))
-    votes = off.groupBy("quarter", "cik", "k").agg(F.count("*").alias("n"))
-    w = Window.partitionBy("quarter", "cik")
-    best = votes.withColumns({"all": F.sum("n").over(w), "place": F.row_number().over(w.orderBy(F.desc("n"), "k"))}).where("place = 1")
-    return best.select("quarter", "cik", F.when(F.col("n") >= agreement * F.col("all"), F.col("k")).otherwise(0).alias("decades"))
+
+    def consensus(df):
+        return df.groupBy("quarter", "ticker").agg(F.percentile("lp", F.lit(0.5)).alias("mid"), F.count("*").alias("holders")).where(F.col("holders") >= least_holders)
+
+    def flags(mid):
+        off = rows.join(mid, ["quarter", "ticker"]).withColumn("dev", F.col("lp") - F.col("mid"))
+        k = off.groupBy("quarter", "cik").agg(F.percentile("dev", F.lit(0.5)).alias("med"), F.count("*").alias("n")).withColumn("k", decades(F.col("med"))).where((F.col("n") >= least_rows) & (F.col("k") != 0))
+        same = off.join(k, ["quarter", "cik"]).groupBy("quarter", "cik", "k", "n").agg(F.count(F.when(decades(F.col("dev")) == F.col("k"), 1)).alias("same"))
+        return same.where(F.col("same") >= agreement * F.col("n")).select("quarter", "cik", F.col("k").alias("decades"))
+
+    first = flags(consensus(rows))
+    return flags(consensus(rows.join(first, ["quarter", "cik"], "left_anti")))
+
+
+def normalised(holdings: DataFrame, **how) -> DataFrame:
+    """Holdings with every value of a flagged manager scaled by the power that ``unit_scale`` finds; shares never change."""
+    scale = unit_scale(holdings, **how)
+    rows = holdings.join(scale, ["quarter", "cik"], "left")
+    return rows.withColumn("value_usd", rescale(F.col("value_usd"), F.coalesce("decades", F.lit(0)))).select(*holdings.columns)
 
 
 def quarter_pricing(holdings: DataFrame) -> DataFrame:
@@ -52,6 +172,62 @@ def quarter_pricing(holdings: DataFrame) -> DataFrame:
     return holdings.where("shares > 0").groupBy("quarter", "ticker").agg(F.percentile(F.col("value_usd") / F.col("shares"), F.lit(0.5)).alias("price"), F.count("*").alias("holders"))
 
 
+def split_pricing(holdings: DataFrame, closes: DataFrame, previous: str, current: str) -> DataFrame:
+    """(ticker, factor_prev, factor_cur, mean_close, median_ratio, ratio, confirmed, price) from holdings and the adjusted
+    closes (quarter, t, ticker, c).
+
+    A factor is the median filed price over the last close of the quarter. Where the factors of the two quarters differ
+    by a ratio beyond the snap, it is a split if the holders' share counts confirm it: their median ratio is near it, or
+    enough of them show it exactly. The price is the mean close on the filed basis."""
+    raw = holdings.where("shares > 0 and value_usd > 0").groupBy("quarter", "ticker").agg(F.percentile(F.col("value_usd") / F.col("shares"), F.lit(0.5)).alias("raw"))
+    adj = closes.where("c > 0").groupBy("quarter", "ticker").agg(F.max_by("c", "t").alias("last"), F.avg("c").alias("mean_close"))
+    factor = raw.join(adj, ["quarter", "ticker"]).select("quarter", "ticker", (F.col("raw") / F.col("last")).alias("factor"))
+    fp, fc = (factor.where(F.col("quarter") == q).select("ticker", F.col("factor").alias(name)) for q, name in ((previous, "factor_prev"), (current, "factor_cur")))
+    mean = adj.where(F.col("quarter") == current).select("ticker", "mean_close")
+    each = holdings.where("shares > 0").where(F.col("quarter").isin(previous, current)).groupBy("cik", "ticker").agg(*[F.sum(F.when(F.col("quarter") == q, F.col("shares"))).alias(name) for q, name in ((previous, "a"), (current, "b"))])
+    each = each.where("a is not null and b is not null").select("ticker", (F.col("b") / F.col("a")).alias("x"))
+    rows = mean.join(fp, "ticker", "full").join(fc, "ticker", "full").withColumn("r", F.col("factor_prev") / F.col("factor_cur"))
+    held = each.join(rows.select("ticker", "r"), "ticker").groupBy("ticker").agg(F.percentile("x", F.lit(0.5)).alias("median_ratio"), F.count("*").alias("n"), F.count(F.when(F.abs(F.ln(F.col("x") / F.col("r"))) < F.ln(F.lit(SPLIT_EXACT)), 1)).alias("exact"))
+    rows = rows.join(held, "ticker", "left")
+    size = F.abs(F.ln("r"))
+    by_median = (F.col("median_ratio") > 0) & (F.abs(F.ln(F.col("median_ratio") / F.col("r"))) < F.least(F.ln(F.lit(SPLIT_CONFIRM)), size / 2))
+    by_holders = (F.col("n") >= SPLIT_HOLDERS) & (F.col("exact") >= SPLIT_MATCHES) & (F.col("exact") >= SPLIT_SHARE * F.col("n"))
+    rows = rows.withColumn("confirmed", F.when(size >= F.ln(F.lit(SPLIT_SNAP)), F.coalesce(by_median, F.lit(False)) | F.coalesce(by_holders, F.lit(False))))
+    price = F.col("mean_close") * F.coalesce("factor_cur", "factor_prev")
+    return rows.select("ticker", "factor_prev", "factor_cur", "mean_close", "median_ratio", F.when(F.col("confirmed"), F.col("r")).otherwise(1.0).alias("ratio"), "confirmed", price.alias("price"))
+
+
+def agreement(observed: DataFrame, estimated: DataFrame, n_nodes: DataFrame, top: tuple[int, ...] = (500, 2000), k: int = 5000) -> DataFrame:
+    """One row of how two flow graphs (src, dst, w) agree: rank correlation over all pairs, cosine of row shares, overlap of
+    the heaviest edges, rank correlation on the observed heaviest and on the union of both, and of in- and outflows."""
+    o, e = (g.where("src <> dst and w > 0").groupBy("src", "dst").agg(F.sum("w").alias("w")) for g in (observed, estimated))
+    out = sparse_pair_spearman(o, e, n_nodes).select(F.col("rho").alias("full_spearman"))
+
+    def shares(g, name):
+        return g.select("src", "dst", (F.col("w") / F.sum("w").over(Window.partitionBy("src"))).alias(name))
+
+    both = shares(o, "x").join(shares(e, "y"), ["src", "dst"], "full")
+    x, y = F.coalesce("x", F.lit(0.0)), F.coalesce("y", F.lit(0.0))
+    out = out.crossJoin(both.agg(F.try_divide(F.sum(x * y), F.sqrt(F.sum(x * x) * F.sum(y * y))).alias("row_cosine")))  # one row each
+    for m in top:
+        out = out.crossJoin(top_overlap(o, e, m).select(F.col("overlap").alias(f"top{m}_overlap")))
+    heavy = o.orderBy(F.desc("w"), "src", "dst").limit(k).select("src", "dst")
+    union = heavy.unionByName(e.orderBy(F.desc("w"), "src", "dst").limit(k).select("src", "dst")).distinct()
+    for keys, name in ((heavy, "obs_topk_spearman"), (union, "union_spearman")):
+        rows = keys.join(o.withColumnRenamed("w", "x"), ["src", "dst"], "left").join(e.withColumnRenamed("w", "y"), ["src", "dst"], "left").fillna(0.0, ["x", "y"])
+        out = out.crossJoin(spearman_all(rows, "x", "y").select(F.col("ic").alias(name)))
+    m = margins(o).join(margins(e).withColumnsRenamed({"inflow": "inflow2", "outflow": "outflow2"}), "node", "full").fillna(0.0)
+    for c in ("inflow", "outflow"):
+        out = out.crossJoin(spearman_all(m, c, f"{c}2").select(F.col("ic").alias(f"{c}_spearman")))
+    return out
+
+
+def range_flows(flows: DataFrame, ranges: DataFrame) -> DataFrame:
+    """(name, src, dst, w): the flows (bar_idx, src, dst, w) within each range (name, first, last) of bars, undecayed."""
+    r = F.broadcast(ranges)  # a few ranges
+    return flows.join(r, F.col("bar_idx").between(F.col("first"), F.col("last"))).groupBy("name", "src", "dst").agg(F.sum("w").alias("w"))
+
+
 def coverage(holdings: DataFrame, mapped: DataFrame) -> DataFrame:
     """(quarter, share): part of the value whose ticker is mapped."""
     m = mapped.select("ticker").distinct().withColumn("known", F.lit(1))

@@ -21,9 +21,11 @@ def sessions(events: DataFrame, gap: str = "30 minutes", late: str = "2 hours")
 
 
 def upsert(stream: DataFrame, path: str, tf: str, checkpoint: str):
-    """Append each micro-batch to the lake under its own ``seq``, so that a bar seen again wins over the earlier one."""
+    """Append each micro-batch to the lake under the lake's next ``seq``, so that a bar seen again wins over the earlier
+    one, also over batches written by other means or before a new checkpoint. A batch that is replayed is written again
+    under a higher ``seq``: the same rows, which win over themselves."""
 
     def add(batch: DataFrame, number: int) -> None:
-        lake.write(batch, path, tf, number)
+        lake.write(batch, path, tf)
 
     return stream.writeStream.foreachBatch(add).option("checkpointLocation", checkpoint).trigger(availableNow=True)

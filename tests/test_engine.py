@@ -168,7 +168,7 @@ def test_session_filter_and_early_close(spark):
 
 
 def test_lake_upsert_compaction_and_retention(spark, tmp_path):
-    path, to = str(tmp_path / "lake"), str(tmp_path / "new")
+    path = str(tmp_path / "lake")
     row = lambda t, c: ("A", t, c, c, c, c, 1.0, c)
     kind = "ticker string, t long, o double, h double, l double, c double, v double, vw double"
     day = 86_400
@@ -177,9 +177,11 @@ def test_lake_upsert_compaction_and_retention(spark, tmp_path):
     got = {r.t: r.c for r in lake.read(spark, path, "1d", 0, 50 * day).collect()}
     assert got == {0: 5.0, 40 * day: 2.0}
     assert lake.read(spark, path, "1d", 0, day).count() == 1
-    lake.compact(spark, path, "1d", to)
-    assert spark.read.parquet(to).count() == 2
+    assert lake.file_count(spark, path, "1d") == 3 and lake.compact(spark, path, "1d") == 1 and lake.file_count(spark, path, "1d") == 2
+    assert spark.read.parquet(path).count() == 2 and lake.next_seq(spark, path) == 3
+    assert {r.t: r.c for r in lake.read(spark, path, "1d", 0, 50 * day).collect()} == got
     assert [(r.year, r.month) for r in lake.retained(spark, path, "1d", 32 * day).collect()] == [(1970, 1)]
+    assert lake.retain(spark, path, {"1d": 10, "1h": 5, "1w": None}, 45 * day) == 1 and spark.read.parquet(path).count() == 1
 
 
 def test_vendor_page(spark):
