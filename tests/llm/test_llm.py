@@ -237,7 +237,7 @@ def test_near_duplicates_find_isolated_pairs_beside_a_large_group(spark):
     group = rng.standard_normal(64) + 0.02 * rng.standard_normal((700, 64))
     x = np.concatenate([group, one, 0.905 * one + np.sqrt(1 - 0.905**2) * other, rng.standard_normal((1000, 64))])
     df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<double>")
-    got = {r.vec_id: r.component_id for r in neardup.near_duplicates(df, trees=4, window=2, rounds=1).collect()}
+    got = {r.vec_id: r.component_id for r in neardup.near_duplicates(df, trees=4, window=8, rounds=1).collect()}
     assert sum(got[700 + i] == got[1200 + i] for i in range(500)) >= 0.98 * 500 and {got[i] for i in range(700)} == {0}
 
 
@@ -245,7 +245,7 @@ def test_forest_recall_and_edges(spark, vectors):
     df, x = vectors
     u = x / np.linalg.norm(x, axis=1, keepdims=True)
     got = {}
-    for r in forest.search(df, df.where("vec_id % 10 = 0"), shard_rows=64, least=32).collect():
+    for r in forest.search(df, df.where("vec_id % 10 = 0"), shard_rows=150, power=0.7).collect():
         got.setdefault(r.query_id, {})[r.rank] = (r.vec_id, r.score)
     assert 1002 not in got and 1000 not in got
     hit = n = 0
