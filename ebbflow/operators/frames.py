@@ -155,7 +155,7 @@ def frames(bars: DataFrame, params: Params, last_only: bool = False, shocks: Dat
     """One row for each active node and bar (or the last bar alone): bar_idx, node, n, pi, score, h, inflow, size_ref,
     floor, pulse and forecast_k for each horizon. Bars start at 1."""
     end = bars.agg(F.max("bar_idx")).first()[0] or 0
-    state = activity(bars, params).where("bar_idx >= 1")
+    state = activity(bars, params).where("bar_idx >= 1").persist()  # a row for each node and bar
     if shocks is not None:
         state = shocked(state, shocks, end, params.pressure)
     p = state.where("p <> 0").select("bar_idx", "ticker", "p")
@@ -164,7 +164,7 @@ def frames(bars: DataFrame, params: Params, last_only: bool = False, shocks: Dat
     since = end - 1 if last_only else 0
     margin, near = margins(state, end, params.half_life_slow, since), state.where(F.col("bar_idx") >= since)
     edges = fold(flows, end, half_lives, params.row_cap, since)
-    solved = solve(near, transitions(edges, near, params, margin), params)
+    solved = solve(near, transitions(edges, near, params, margin), params).persist()  # read for each bar and for the one after
     m = margin.select("bar_idx", "node", "outflow", "inflow")
     size = near.select("bar_idx", F.col("ticker").alias("node"), F.col("mdv").alias("size_ref"))
     f = solved.join(size, ["bar_idx", "node"]).join(m, ["bar_idx", "node"], "left").withColumn("score", F.col("pi") * F.col("n"))

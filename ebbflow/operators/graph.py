@@ -62,9 +62,18 @@ def modularity(sym: DataFrame, labels: DataFrame) -> DataFrame:
     return rows.crossJoin(total).agg(F.sum(F.col("own") / F.col("total") - F.pow(F.col("deg") / F.col("total"), F.lit(2.0))).alias("modularity"))  # one row
 
 
-def louvain(sym: DataFrame, resolution: float = 1.0, smallest: int = 8) -> DataFrame:
-    """(node, community): two-phase modularity ascent in node order, gains above 1e-12, ties to the lowest label; groups
-    under ``smallest`` join their strongest neighbour. Sequential by definition: one task on a pruned graph."""
+LOOSE = -2
+
+
+def louvain(sym: DataFrame, resolution: float = 1.0, smallest: int = 8, most: int = 256, passes: int = 50, local_edges: int = 3_000_000) -> DataFrame:
+    """(node, community): two-phase modularity ascent in node order, gains above 1e-12, ties to the lowest label, at most
+    ``passes`` rounds a level. Then the smallest group joins its strongest neighbour while it is under ``smallest`` or there
+    are more than ``most``; one without a neighbour is loose (-2). A community is named after its smallest node.
+
+    Sequential by definition, so one task on a pruned graph; raises for one of more than ``local_edges`` edges."""
+    sym = sym.persist()  # counted, then read
+    if sym.count() > local_edges:
+        raise ValueError(f"louvain takes at most {local_edges} edges in one task; prune the graph first")
 
     def run(pdf):
         import pandas as pd
@@ -78,8 +87,9 @@ def louvain(sym: DataFrame, resolution: float = 1.0, smallest: int = 8) -> DataF
             degree = {v: sum(n.values()) + loops[v] for v, n in level.items()}
             m2 = sum(degree.values()) or 1.0
             label, weight, moved_any, moved = {v: v for v in level}, dict(degree), False, True
-            while moved:
-                moved = False
+            rounds = 0
+            while moved and rounds < passes:
+                moved, rounds = False, rounds + 1
                 for v in sorted(level):
                     links: dict[int, float] = {}
                     for u, w in level[v].items():
@@ -111,21 +121,31 @@ def louvain(sym: DataFrame, resolution: float = 1.0, smallest: int = 8) -> DataF
         groups: dict[int, list[int]] = {}
         for v, c in member.items():
             groups.setdefault(c, []).append(v)
-        for c in sorted(groups, key=lambda c: (len(groups[c]), c)):
-            if len(groups[c]) >= smallest or len(groups) == 1:
+        groups = {min(own): own for own in groups.values()}
+        home = {v: c for c, own in groups.items() for v in own}
+        pull: dict[int, dict[int, float]] = {c: {} for c in groups}
+        for v, near in graph.items():
+            for u, w in near.items():
+                if home[u] != home[v]:
+                    pull[home[v]][home[u]] = pull[home[v]].get(home[u], 0.0) + w
+        loose: list[int] = []
+        while groups:
+            c = min(groups, key=lambda k: (len(groups[k]), k))
+            if len(groups[c]) >= smallest and len(groups) <= most:
+                break
+            near, own = pull.pop(c), groups.pop(c)
+            if not near:
+                loose += own
                 continue
-            pull: dict[int, float] = {}
-            for v in groups[c]:
-                for u, w in graph[v].items():
-                    if member[u] != c:
-                        pull[member[u]] = pull.get(member[u], 0.0) + w
-            if pull:
-                to = min(pull, key=lambda k: (-pull[k], k))
-                for v in groups.pop(c):
-                    member[v] = to
-                    groups[to].append(v)
-        first = {c: min(v) for c, v in groups.items()}
-        return pd.DataFrame({"node": list(member), "community": [first[c] for c in member.values()]})
+            to = min(near, key=lambda k: (-near[k], k))
+            groups[to] += own
+            for k, w in near.items():
+                pull[k].pop(c)
+                if k != to:
+                    pull[k][to] = pull[k].get(to, 0.0) + w
+                    pull[to][k] = pull[to].get(k, 0.0) + w
+        named = [(v, min(own)) for own in groups.values() for v in own] + [(v, LOOSE) for v in loose]
+        return pd.DataFrame(named, columns=["node", "community"])
 
     return sym.groupBy(F.lit(0).alias("all")).applyInPandas(run, "node long, community long")
 
