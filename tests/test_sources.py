@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from ebbflow import catalog, params
 from ebbflow.functions import scalar
 from ebbflow.operators import frames, geometry, graph, holdings, stats, universe, walkforward
-from ebbflow.sources import files, lake, tables
+from ebbflow.sources import files, lake, reports, tables
 
 
 def put(path, text):
@@ -261,3 +261,23 @@ def test_scalars_of_odd_values(spark):
     assert [r.t for r in got] == [None, 1709209805] and got[1].u == "a%20b%2A~" and [r.n for r in got] == [15.0, 0.0] and got[0].b.start is None and got[1].b.end - got[1].b.start == 91 * 86400 and got[0].l == "'x''y'"
     assert scalar.fnv1a("") == f"{1469598103934665603:016x}"
     assert tables.table is not None
+
+
+def test_panel_round_trip_registry_and_slice(spark, tmp_path):
+    m = files.synthetic_market(spark, 2, 2, 30, 3, 15)
+    f = reports.feature_panel(m.select("bar_idx", "t", "ticker", "o", "h", "l", "c", "v", "vw"), params.replace(params.rank_preset(), liquidity_floor=0.0), 2)
+    reports.write_panel(f, str(tmp_path / "p"), {"horizon": 2})
+    back, meta = reports.read_panel(spark, str(tmp_path / "p"))
+    assert back.count() == 4 * 30 and meta["horizon"] == 2 and reports.truncated(back, 10).count() == 40
+    old = spark.createDataFrame([("a", "x", "h1", 0.1), ("b", "x", "h2", 0.2)], "run_id string, strategy string, params_hash string, sharpe_daily double")
+    new = spark.createDataFrame([("a", "x", "h1", 0.5, 0.3)], "run_id string, strategy string, params_hash string, sharpe_daily double, ir_daily double")
+    assert {(r.run_id, r.sharpe_daily, r.ir_daily) for r in reports.replace_runs(old, new).collect()} == {("a", 0.5, 0.3), ("b", 0.2, None)}
+    with pytest.raises(ValueError):
+        reports.replace_runs(old, new.withColumn("params_hash", F.lit("other")))
+    curves = spark.createDataFrame([(r, s, t, v) for r in "ab" for s, vs in (("x", (1.0, 1.1, 1.0, 1.2)), ("base", (1.0, 1.0, 1.05, 1.05))) for t, v in enumerate(vs)], "run_id string, strategy string, t int, value double")
+    d = np.array([1.1 - 1, 1 / 1.1 - 1, 0.2]) - np.array([0, 0.05, 0])
+    got = {r.run_id: r.ir_daily for r in reports.with_ratio(old, curves, "base").collect()}
+    assert math.isclose(got["a"], d.mean() / d.std(ddof=1)) and reports.params_hash(params.Params()) == reports.params_hash(params.Params()) != reports.params_hash(params.legacy())
+    assert reports.long(reports.wide(curves.where("run_id = 'a'").drop("run_id"), ["base", "x"])).count() == 8
+    j = json.loads(reports.slice_json(spark.createDataFrame([(2, 0.4), (1, 0.6)], "node long, pi double"), spark.createDataFrame([(1, 2, 1.0)], "src long, dst long, p double"), 0).first()["value"])
+    assert j["time"] == "1970-01-01T00:00:00Z" and [n["node"] for n in j["nodes"]] == [1, 2] and reports.markdown(old, ["run_id", "sharpe_daily"], 1).splitlines()[2] == "| a | 0.1 |"
