@@ -197,7 +197,7 @@ SELECT *, corr(x.r0, y.r0) OVER w AS corr, count(*) OVER w AS n FROM (SELECT bar
 WINDOW w AS (PARTITION BY x.ticker, y.ticker ORDER BY x.bar_idx RANGE BETWEEN 12 PRECEDING AND 1 PRECEDING)) WHERE n = 12""".replace("SELECT x.bar_idx, x.ticker AS a, y.ticker AS b, round(corr, 6) AS corr FROM (\nSELECT *, ", "SELECT bar_idx, a, b, round(corr, 6) AS corr FROM (\nSELECT x.bar_idx AS bar_idx, x.ticker AS a, y.ticker AS b, "))
 
 
-@query()
+@query(ROLLING_CORR_12.replace(" WHERE ticker <= 12", ""))
 def rolling_corr(s, d):
     rets = _rets(s, d)
     a, b = (rets.select(F.col("ticker").alias(c)).distinct() for c in "ab")
