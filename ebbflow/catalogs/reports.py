@@ -49,3 +49,10 @@ def latest_graph(s, d):
     o = tables.table(s, d, "orders")
     g = o.select((F.col("o_custkey") % 50).alias("src"), F.col("o_orderkey").alias("dst"), F.col("o_totalprice").alias("w"), F.year("o_orderdate").cast("long").alias("cutoff"))
     return out(reports.latest_store(g, 1995), ["src", "dst", "cutoff"], ["w"], 4)
+
+
+@query(final(PANEL, " SELECT bar_idx::BIGINT AS bar_idx, ticker, place FROM (SELECT bar_idx, ticker, row_number() OVER (PARTITION BY bar_idx ORDER BY round(ldv, 9) DESC, ticker) AS place FROM act JOIN ft USING (ticker, bar_idx) JOIN eg USING (ticker, bar_idx) JOIN lb USING (ticker, bar_idx) WHERE active AND elig AND label IS NOT NULL) WHERE place <= 20"))
+def node_set(s, d):
+    """The nodes that a learner sees on each bar."""
+    f = reports.feature_panel(_bars(s, d), PRESET, 3, 20, 100_000.0).withColumn("ldv", F.round("ldv", 9))
+    return out(reports.node_set(f, 20), ["bar_idx", "ticker", "place"])

@@ -292,3 +292,20 @@ def persistence(labels: DataFrame, lags: tuple[int, ...]) -> DataFrame:
         rows = rows.withColumn("lag", F.lit(lag))
         out = rows if out is None else out.unionByName(rows)
     return out.select("frame", "lag", "n", "same_pairs")
+
+
+def arrange_order(spectral: list[int], labels: dict[int, int], before: list[int]) -> list[int]:
+    """Labels in the spectral order of their communities, but those that were there before in their old order among
+    themselves."""
+    own = [labels[c] for c in spectral if c in labels]
+    place = {label: k for k, label in enumerate(before)}
+    kept = iter(sorted((x for x in own if x in place), key=place.get))
+    return [next(kept) if x in place else x for x in own]
+
+
+def landscape(nodes: DataFrame, cols: int, rows: int, subdivision: int = 2, radius: int = 3, sigma: float = 1.0) -> tuple[DataFrame, DataFrame]:
+    """The layout (frame, node, cell, territory, mountain) and the smoothed surface (px, py, z) of one frame's nodes (frame,
+    node, community, value)."""
+    placed = territory_layout(nodes, cols, rows)
+    values = placed.join(nodes.select("node", "value"), "node").select("cell", "value")
+    return placed, smooth(idw(values, cols, rows, subdivision, radius), sigma * subdivision)

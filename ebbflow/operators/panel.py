@@ -82,7 +82,7 @@ def rolling_corr(rets: DataFrame, pairs: DataFrame, window: int) -> DataFrame:
     a, b = r.select("bar_idx", F.col("ticker").alias("a"), F.col("r").alias("ra")), r.select("bar_idx", F.col("ticker").alias("b"), F.col("r").alias("rb"))
     both = pairs.join(a, "a").join(b, ["bar_idx", "b"])
     w = Window.partitionBy("a", "b").orderBy("bar_idx").rangeBetween(-window, -1)
-    return both.withColumns({"corr": F.corr("ra", "rb").over(w), "n": F.count("ra").over(w)}).where(F.col("n") == window).select("bar_idx", "a", "b", "corr")
+    return both.withColumns({"corr": F.try_divide(F.covar_pop("ra", "rb").over(w), F.sqrt(F.var_pop("ra").over(w) * F.var_pop("rb").over(w))), "n": F.count("ra").over(w)}).where(F.col("n") == window).select("bar_idx", "a", "b", "corr")
 
 
 def features(bars: DataFrame) -> DataFrame:

@@ -12,11 +12,16 @@ def average_rank(x: str, by: list[str]):
     return F.rank().over(w) + (F.count("*").over(same) - 1) / 2
 
 
+def correlation(x: str, y: str):
+    """Pearson correlation as an aggregate; null where a side has no variance (``corr`` fails there)."""
+    return F.try_divide(F.covar_pop(x, y), F.sqrt(F.var_pop(x) * F.var_pop(y)))
+
+
 def spearman(df: DataFrame, x: str, y: str, by: list[str], least: int = 3) -> DataFrame:
     """(by, ic, n): rank correlation within each group; null for fewer than ``least`` pairs or no variance."""
     rows = df.where(F.col(x).isNotNull() & F.col(y).isNotNull())
     rows = rows.withColumns({"rx": average_rank(x, by), "ry": average_rank(y, by)})
-    out = rows.groupBy(*by).agg(F.corr("rx", "ry").alias("ic"), F.count("*").alias("n"), F.var_pop("rx").alias("vx"), F.var_pop("ry").alias("vy"))
+    out = rows.groupBy(*by).agg(correlation("rx", "ry").alias("ic"), F.count("*").alias("n"), F.var_pop("rx").alias("vx"), F.var_pop("ry").alias("vy"))
     return out.select(*by, F.when((F.col("n") >= least) & (F.col("vx") > 0) & (F.col("vy") > 0), F.col("ic")).alias("ic"), "n")
 
 
@@ -165,7 +170,7 @@ def spearman_all(df: DataFrame, x: str, y: str, least: int = 3) -> DataFrame:
     """One row (ic, n): rank correlation over all rows with both values; null for fewer than ``least`` or no variance."""
     rows = df.where(F.col(x).isNotNull() & F.col(y).isNotNull()).select(x, y)
     rows = global_average_rank(global_average_rank(rows, x, "rx"), y, "ry")
-    out = rows.agg(F.corr("rx", "ry").alias("ic"), F.count("*").alias("n"), F.var_pop("rx").alias("vx"), F.var_pop("ry").alias("vy"))
+    out = rows.agg(correlation("rx", "ry").alias("ic"), F.count("*").alias("n"), F.var_pop("rx").alias("vx"), F.var_pop("ry").alias("vy"))
     return out.select(F.when((F.col("n") >= least) & (F.col("vx") > 0) & (F.col("vy") > 0), F.col("ic")).alias("ic"), "n")
 
 
@@ -189,7 +194,7 @@ def best_by(df: DataFrame, score: str, name: str, by: list[str]) -> DataFrame:
 
 def pearson(df: DataFrame, x: str, y: str, by: list[str], least: int = 3) -> DataFrame:
     """(by, r, n): correlation of the pairs of each group; null for fewer than ``least`` or no variance."""
-    rows = df.where(F.col(x).isNotNull() & F.col(y).isNotNull()).groupBy(*by).agg(F.corr(x, y).alias("r"), F.count("*").alias("n"), F.var_pop(x).alias("vx"), F.var_pop(y).alias("vy"))
+    rows = df.where(F.col(x).isNotNull() & F.col(y).isNotNull()).groupBy(*by).agg(correlation(x, y).alias("r"), F.count("*").alias("n"), F.var_pop(x).alias("vx"), F.var_pop(y).alias("vy"))
     return rows.select(*by, F.when((F.col("n") >= least) & (F.col("vx") > 0) & (F.col("vy") > 0), F.col("r")).alias("r"), "n")
 
 

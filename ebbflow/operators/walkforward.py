@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import tempfile
+
 import numpy as np
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -18,14 +20,15 @@ def blend_weights(ics: DataFrame, train: int, embargo: int, least: int = 6) -> D
     return rows.select("step", "signal", F.coalesce(F.try_divide("pos", F.sum("pos").over(Window.partitionBy("step"))), F.lit(0.0)).alias("w"))
 
 
-def target_weights(scores: DataFrame, base: DataFrame, tilt: float = 0.2, k: int = 10, cap: float = 0.1) -> DataFrame:
-    """(step, ticker, w): (1 - tilt) of the base mix plus the tilt over the k best scores, each capped."""
-    place = F.row_number().over(Window.partitionBy("step").orderBy(F.desc("score"), "ticker"))
+def target_weights(scores: DataFrame, base: DataFrame, tilt: float = 0.2, k: int = 10, cap: float = 0.1, by: tuple[str, ...] = ()) -> DataFrame:
+    """(by, step, ticker, w): (1 - tilt) of the base mix plus the tilt over the k best scores, each capped."""
+    keys = [*by, "step"]
+    place = F.row_number().over(Window.partitionBy(*keys).orderBy(F.desc("score"), "ticker"))
     each = tilt * min(1 / k, cap / tilt)
-    top = scores.where("score is not null").withColumn("place", place).where(F.col("place") <= k).select("step", "ticker", F.lit(each).alias("w"))
-    steps = scores.select("step").distinct()
-    own = steps.crossJoin(base).select("step", "ticker", ((1 - tilt) * F.col("w")).alias("w"))  # the base mix on every step
-    return own.unionByName(top).groupBy("step", "ticker").agg(F.sum("w").alias("w"))
+    top = scores.where("score is not null").withColumn("place", place).where(F.col("place") <= k).select(*keys, "ticker", F.lit(each).alias("w"))
+    steps = scores.select(*keys).distinct()
+    own = steps.crossJoin(base).select(*keys, "ticker", ((1 - tilt) * F.col("w")).alias("w"))  # the base mix on every step
+    return own.unionByName(top).groupBy(*keys, "ticker").agg(F.sum("w").alias("w"))
 
 
 def simulate(prices: DataFrame, targets: DataFrame, cost_bps: float = 10.0, turnover_cap: float = 0.5) -> DataFrame:
@@ -294,3 +297,55 @@ def ic_table(scores: DataFrame, grid: DataFrame, eligible: DataFrame, horizons:
         rows = mean_t(ic.where("ic is not null"), "ic", ["signal"]).withColumn("horizon", F.lit(h))
         out = rows if out is None else out.unionByName(rows)
     return out.select("signal", "horizon", "n", "mean", "t")
+
+
+def cut(df: DataFrame) -> DataFrame:
+    """``df`` without the plan it came from: a checkpoint in the shared folder that ``spark.checkpoint.dir`` names. Where that
+    is unset, a temporary folder will do in local mode, and nothing else."""
+    spark = df.sparkSession
+    if not spark.conf.get("spark.checkpoint.dir", None) and not spark.sparkContext.getCheckpointDir():
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="ebbflow-"))
+    return df.checkpoint()
+
+
+def study(bars: DataFrame, params, unit: str = "month", warmup: int = 12, floor: float = 0.0, top_n: int = 1 << 30, window: int = 20, horizons: tuple[int, ...] = (1, 2, 5), train: int = 24, embargo: int = 1, gate: int = 12, gate_least: int = 6, gate_t: float = 2.0, tilt: float = 0.2, k: int = 10, cap: float = 0.1, cost_bps: float = 10.0, turnover_cap: float = 0.5) -> dict[str, DataFrame]:
+    """The whole walk-forward study over bars, causal throughout: ``ic`` (the coefficients of every signal and horizon),
+    ``steps`` (out-of-sample coefficient and gate of each rebalance), ``targets`` and ``curves`` (of the gated blend, every
+    signal's tilt over the equal-weight base, and the standing benchmarks).
+
+    A decision is taken at the close of a rebalance bar on nodes that are eligible and active, and executed at the next
+    open; its label runs from that open to the one after the next decision."""
+    from ..sources import tables
+    from . import frames
+    from .panel import eligible, rebalance_dates
+    from .stats import zscore
+
+    end = (bars.agg(F.max("bar_idx")).first()[0] or 0) + 1
+    grid = cut(tables.dense(bars))
+    raw = frames.signals(cut(frames.frames(bars, params))).withColumnRenamed("node", "ticker")
+    pairs = F.explode(F.array(*[F.struct(F.lit(c).alias("signal"), F.col(c).alias("x")) for c in frames.SIGNALS]))
+    scores = cut(raw.select("bar_idx", "ticker", pairs.alias("y")).select("bar_idx", "ticker", "y.signal", "y.x").where("x is not null"))
+    names = cut(eligible(grid, window, floor, top_n).select("bar_idx", "ticker"))
+    dates = cut(rebalance_dates(bars, unit, max(warmup, 1)).select(F.col("bar_idx").cast("int").alias("bar_idx")))
+    table = ic_table(scores, grid, names, horizons, max(warmup, 1), end)
+
+    z = cut(zscore(scores.join(dates, "bar_idx").join(names, ["bar_idx", "ticker"]), "x", ["bar_idx", "signal"]).select(F.col("bar_idx").alias("step"), "signal", "ticker", "z"))
+    following = dates.withColumn("next", F.lead("bar_idx").over(Window.orderBy("bar_idx")))  # a calendar
+    opens = grid.select("bar_idx", "ticker", "o")
+    a = following.select(F.col("bar_idx").alias("step"), (F.col("bar_idx") + 1).alias("bar_idx")).join(opens, "bar_idx").select("step", "ticker", F.col("o").alias("o1"))
+    b = following.where("next is not null").select(F.col("bar_idx").alias("step"), (F.col("next") + 1).alias("bar_idx")).join(opens, "bar_idx").select("step", "ticker", F.col("o").alias("o2"))
+    labels = cut(a.join(b, ["step", "ticker"]).where("o1 > 0").select("step", "ticker", (F.col("o2") / F.col("o1") - 1).alias("label")))
+    steps, blended = (cut(x) for x in blend(z, labels, train, embargo, gate, gate_least, gate_t))
+
+    universe = bars.select("ticker").distinct()
+    base = universe.crossJoin(universe.agg((1 / F.count("*")).alias("w")))  # one row
+    closed = steps.where(~F.col("gate_open")).select("step").crossJoin(base).select(F.lit("blend").alias("strategy"), "step", "ticker", "w")  # a closed gate holds the base
+    own = blended.where("gate_open").select(F.lit("blend").alias("strategy"), "step", "ticker", "score").unionByName(z.select(F.concat(F.lit("sig:"), "signal").alias("strategy"), "step", "ticker", F.col("z").alias("score")))
+    targets = target_weights(own, base, tilt, k, cap, ("strategy",))
+    targets = targets.unionByName(closed).withColumnRenamed("step", "t")
+    standing = benchmarks(dates.select(F.col("bar_idx").alias("t")), base, names.withColumnRenamed("bar_idx", "t"))
+    targets = targets.unionByName(standing.select(F.concat(F.lit("bench:"), "strategy").alias("strategy"), F.col("t").cast("int").alias("t"), "ticker", "w"))
+    prices = grid.select(F.col("bar_idx").alias("t"), "ticker", "o", "c")
+    return {"ic": table, "steps": steps, "targets": targets, "curves": simulate(prices, targets, cost_bps, turnover_cap)}

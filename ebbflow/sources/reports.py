@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import json
+import re
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -132,3 +133,24 @@ def retrain_blocks(calendar: DataFrame, first: int, every: int, embargo: int) ->
     end = calendar.agg((F.max("bar_idx") + 1).alias("stop"))
     starts = end.where(F.col("stop") > first).select(F.explode(F.sequence(F.lit(first), F.col("stop") - 1, F.lit(every))).alias("start"), "stop")
     return starts.select(((F.col("start") - first) / every).cast("long").alias("block"), (F.col("start") - embargo).cast("long").alias("train_end"), F.col("start").cast("long").alias("start"), F.least(F.col("start") + every, F.col("stop")).cast("long").alias("end"))
+
+
+def node_set(features: DataFrame, most: int, labelled: bool = True) -> DataFrame:
+    """(bar_idx, ticker, place): the active, eligible (and labelled) names of each bar, the ``most`` largest by ldv, ties to
+    the smaller name."""
+    fine = F.col("active") & F.col("elig") & (F.col("label").isNotNull() if labelled else F.lit(True))
+    place = F.row_number().over(Window.partitionBy("bar_idx").orderBy(F.desc("ldv"), "ticker"))
+    return features.where(fine).withColumn("place", place).where(F.col("place") <= most).select("bar_idx", "ticker", "place")
+
+
+def check_run_id(name: str) -> str:
+    """The name of a run, of letters, digits and _ . - alone, 64 at most."""
+    if not re.fullmatch(r"[A-Za-z0-9_.-]{1,64}", name) or name in (".", ".."):
+        raise ValueError(f"not a run id: {name!r}")
+    return name
+
+
+def same_calendar(stored: DataFrame, now: DataFrame) -> bool:
+    """Whether a stored calendar (bar_idx, t) is a prefix of the one now: what was learned on it can be carried on."""
+    both = stored.select("bar_idx", F.col("t").alias("was")).join(now.select("bar_idx", "t"), "bar_idx", "left")
+    return both.where("t is null or t <> was").limit(1).count() == 0

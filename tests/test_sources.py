@@ -281,3 +281,15 @@ def test_panel_round_trip_registry_and_slice(spark, tmp_path):
     assert reports.long(reports.wide(curves.where("run_id = 'a'").drop("run_id"), ["base", "x"])).count() == 8
     j = json.loads(reports.slice_json(spark.createDataFrame([(2, 0.4), (1, 0.6)], "node long, pi double"), spark.createDataFrame([(1, 2, 1.0)], "src long, dst long, p double"), 0).first()["value"])
     assert j["time"] == "1970-01-01T00:00:00Z" and [n["node"] for n in j["nodes"]] == [1, 2] and reports.markdown(old, ["run_id", "sharpe_daily"], 1).splitlines()[2] == "| a | 0.1 |"
+
+
+def test_the_whole_study_runs_causally(spark):
+    m = files.synthetic_market(spark, 2, 3, 50, 5, 25).drop("sector").withColumn("t", F.timestamp_seconds("t"))
+    preset = params.replace(params.rank_preset(), tilt=0.0, liquidity_floor=0.0)
+    how = {"unit": "week", "warmup": 10, "train": 6, "gate": 3, "gate_least": 2, "k": 2}
+    r = walkforward.study(m, preset, **how)
+    full = {(x.strategy, x.t): x.value for x in r["curves"].collect()}
+    assert {s for s, _ in full} >= {"blend", "sig:score", "bench:buyhold", "bench:rebalanced", "bench:ew_eligible"} and r["ic"].count() == 24
+    part = walkforward.study(m.where("bar_idx < 36"), preset, **how)
+    early = {(x.strategy, x.t): x.value for x in part["curves"].where("t < 34").collect()}
+    assert early and all(math.isclose(full[k], v, rel_tol=1e-9) for k, v in early.items())
