@@ -30,7 +30,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .cells import groups
-from .common import pack, release, store, unpack
+from .common import drop_stored, pack, release, store, unpack
 
 LENGTH, GRAM = 50, 22
 WIDTH = LENGTH - GRAM + 1  # k-grams in a string
@@ -116,8 +116,9 @@ def slices(batches, most: int = 1_000_000) -> Iterator[tuple[list, list, list[by
     release()
 
 
-def meeting_places(texts: DataFrame, parts: int) -> DataFrame:
-    """(doc, tid, at array<int>): the anchors of each text whose k-gram stands in another document too."""
+def meeting_places(texts: DataFrame, parts: int) -> tuple[DataFrame, DataFrame]:
+    """(doc, tid, at array<int>): the anchors of each text whose k-gram stands in another document too; and the stored
+    table of anchors that it is read from."""
 
     def send(batches):
         import pyarrow as pa
@@ -181,26 +182,31 @@ def meeting_places(texts: DataFrame, parts: int) -> DataFrame:
         import pyarrow as pa
 
         for _, t in groups(batches, ["part"]):
-            cols = []
-            for block, run in zip(t.column("block").to_pylist(), t.column("run").to_pylist(), strict=True):
-                h, local, at = unpack(block, 3)
-                cols.append((h, np.full(len(h), run), local.astype(np.int32), at.astype(np.int32)))
-            h, run, local, at = map(np.concatenate, zip(*cols, strict=True))
+            names = t.column("run").to_numpy()
+            cols: tuple[list, ...] = ([], [], [], [])
+            for k, block in enumerate(t.column("block")):
+                h, local, at = unpack(block.as_py(), 3)
+                for col, x in zip(cols, (h, np.full(len(h), k, np.int32), local.astype(np.int32), at.astype(np.int32)), strict=True):
+                    col.append(x)
+            del t
+            h, which, local, at = map(np.concatenate, cols)
+            del cols
             order = np.argsort(h, kind="stable")
-            h, run, local, at = h[order], run[order], local[order], at[order]
-            new = np.concatenate([[True], h[1:] != h[:-1]])
-            first = np.flatnonzero(new)
-            last = np.concatenate([first[1:], [len(h)]]) - 1
+            h = h[order]
+            first = np.flatnonzero(np.concatenate([[True], h[1:] != h[:-1]]))
+            many = np.diff(first, append=len(h))
+            del h
+            a, b = order[first], order[first + many - 1]
             # a run's rows stand together, by text: the ends of a group tell whether it holds two texts
-            keep = ((run[first] != run[last]) | (local[first] != local[last]))[np.cumsum(new) - 1]
-            yield pa.RecordBatch.from_arrays([pa.array(run[keep]), pa.array(local[keep]), pa.array(at[keep])], ["run", "local", "at"])
+            keep = order[np.repeat((which[a] != which[b]) | (local[a] != local[b]), many)]
+            yield pa.RecordBatch.from_arrays([pa.array(names[which[keep]]), pa.array(local[keep]), pa.array(at[keep])], ["run", "local", "at"])
 
     far = sent.where("part is not null").select("part", "block", "run").repartition(parts, "part").sortWithinPartitions("part", "run").mapInArrow(meet, "run long, local int, at int")
     far = far.groupBy("run", "local").agg(F.collect_list("at").alias("at"))
     near = sent.where("part is null and local is not null").select("run", "local", "at")
     names = sent.where("docs is not null").select("run", F.posexplode(F.arrays_zip("docs", "tids")).alias("local", "x")).select("run", "local", F.col("x.docs").alias("doc"), F.col("x.tids").alias("tid"))
     every = far.unionByName(near).groupBy("run", "local").agg(F.array_distinct(F.flatten(F.collect_list("at"))).alias("at"))
-    return every.join(names, ["run", "local"]).groupBy("doc", "tid").agg(F.array_distinct(F.flatten(F.collect_list("at"))).alias("at"))
+    return every.join(names, ["run", "local"]).groupBy("doc", "tid").agg(F.array_distinct(F.flatten(F.collect_list("at"))).alias("at")), sent
 
 
 def keys_of(data: np.ndarray, ends: np.ndarray, who: np.ndarray, at: np.ndarray) -> np.ndarray:
@@ -377,7 +383,7 @@ def whole(key: bytes, at: int) -> tuple[int, int] | None:
     return (at - key[-1], at + key[-2]) if key[-1] + key[-2] >= LENGTH else None
 
 
-def removed(texts: DataFrame, places: DataFrame, splits: np.ndarray, parts: int, crowd: int) -> DataFrame:
+def removed(texts: DataFrame, places: DataFrame, spent: DataFrame, splits: np.ndarray, parts: int, crowd: int) -> DataFrame:
     """(doc, tid, a, b): spans of bytes that go, from the suffixes at ``places``."""
     joined = texts.join(places, ["doc", "tid"])
 
@@ -440,6 +446,7 @@ def removed(texts: DataFrame, places: DataFrame, splits: np.ndarray, parts: int,
         release()
 
     sent = store(joined.mapInArrow(sort, "part int, run long, seq int, block binary, doc long, tid long, a int, b int"), "runs")
+    drop_stored(spent)
 
     def sweep(batches):
         import pyarrow as pa
@@ -545,7 +552,7 @@ def split_points(texts: DataFrame, digests: DataFrame, parts: int, most: int = 4
     return lead[(np.arange(1, parts) * len(lead)) // parts]
 
 
-def dedup(docs: DataFrame, text: str = "text", key: str = "doc_id", crowd: int = 20_000, part_bytes: int = 4_000_000, salts: int = 8) -> DataFrame:
+def dedup(docs: DataFrame, text: str = "text", key: str = "doc_id", crowd: int = 20_000, part_bytes: int = 6_000_000, salts: int = 8) -> DataFrame:
     """(key, tid, text, starts, ends): every row of ``docs`` with the maximal spans of bytes that go from its text.
 
     Anchors and suffixes meet in as many parts as there are ``part_bytes`` of text; a task holds one part at a time."""
@@ -561,8 +568,9 @@ def dedup(docs: DataFrame, text: str = "text", key: str = "doc_id", crowd: int =
     salted = digests.where(f"n >= {LENGTH}").withColumn("salt", F.pmod(F.xxhash64("tid"), F.lit(salts)).cast("int"))
     copies = store(salted.join(first, ["digest", "salt"]).where("doc > first").select("doc", "tid", F.lit(0).alias("a"), F.col("n").cast("int").alias("b")), "copies").dropDuplicates(["doc", "tid"])
     own = texts.select("doc", "tid", "text")
-    places = meeting_places(own, parts).join(copies.select("doc", "tid"), ["doc", "tid"], "left_anti")
-    spans = removed(own, places, split_points(own, digests, parts), parts, crowd).unionByName(copies)
+    places, spent = meeting_places(own, parts)
+    places = places.join(copies.select("doc", "tid"), ["doc", "tid"], "left_anti")
+    spans = removed(own, places, spent, split_points(own, digests, parts), parts, crowd).unionByName(copies)
     by_doc = spans.groupBy("doc", "tid").agg(F.array_sort(F.collect_set(F.struct("a", "b"))).alias("spans"))
 
     def settle(batches):
