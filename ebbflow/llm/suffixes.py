@@ -509,8 +509,10 @@ def removed(texts: DataFrame, places: DataFrame, spent: DataFrame, splits: np.nd
             yield rows()
 
     far = sent.where("part is not null").select("part", "run", "seq", "block").repartition(parts, "part").sortWithinPartitions("part", "run", "seq")
-    swept = store(far.mapInArrow(sweep, "doc long, tid long, a int, b int, key binary"), "swept")
-    out = sent.where("part is null").select("doc", "tid", "a", "b").unionByName(swept.where("key is null").select("doc", "tid", "a", "b"))
+    near = sent.where("part is null").select("doc", "tid", "a", "b", F.lit(None).cast("binary").alias("key"))
+    swept = store(far.mapInArrow(sweep, "doc long, tid long, a int, b int, key binary").unionByName(near), "swept")
+    drop_stored(sent)
+    out = swept.where("key is null").select("doc", "tid", "a", "b")
     crowded = swept.where("key is not null")
     if not crowded.isEmpty():
         out = out.unionByName(judge_crowds(crowded))
@@ -552,7 +554,7 @@ def split_points(texts: DataFrame, digests: DataFrame, parts: int, most: int = 4
     return lead[(np.arange(1, parts) * len(lead)) // parts]
 
 
-def dedup(docs: DataFrame, text: str = "text", key: str = "doc_id", crowd: int = 20_000, part_bytes: int = 6_000_000, salts: int = 8) -> DataFrame:
+def dedup(docs: DataFrame, text: str = "text", key: str = "doc_id", crowd: int = 20_000, part_bytes: int = 10_000_000, salts: int = 8) -> DataFrame:
     """(key, tid, text, starts, ends): every row of ``docs`` with the maximal spans of bytes that go from its text.
 
     Anchors and suffixes meet in as many parts as there are ``part_bytes`` of text; a task holds one part at a time."""
