@@ -55,10 +55,13 @@ def session_index(times: DataFrame) -> DataFrame:
 
 
 def session_label(bars: DataFrame, horizon: int) -> DataFrame:
-    """Open-to-open return from the next bar, only where that bar and the one ``horizon`` later share a session."""
+    """Open-to-open return from the next bar, only where that bar and the one ``horizon`` later share a session. An open of
+    0 divides as floating point does: infinite, or NaN where both are 0."""
     w = Window.partitionBy("ticker").orderBy("ts")
     same = F.lead("session", 1).over(w) == F.lead("session", 1 + horizon).over(w)
-    return bars.withColumn("label", F.when(same, F.lead("o", 1 + horizon).over(w) / F.lead("o", 1).over(w) - 1))
+    start, end = F.lead("o", 1).over(w), F.lead("o", 1 + horizon).over(w)
+    ratio = F.when(start == 0, end * F.lit(float("inf"))).otherwise(F.try_divide(end, start))
+    return bars.withColumn("label", F.when(same, ratio - 1))
 
 
 def slot_shock(bars: DataFrame, sessions: int = 20) -> DataFrame:
