@@ -116,9 +116,23 @@ def slices(batches, most: int = 1_000_000) -> Iterator[tuple[list, list, list[by
     release()
 
 
+def bounds(parts: int) -> np.ndarray:
+    """The least hashes of the parts 1, 2, ...: as many anchors in each. An anchor is the least hash of its string, so small
+    hashes are far more frequent: with q = 1 - x, a share of 1 - 15 q^29 + 14 q^30 of them (for ``WIDTH`` 29) is below x."""
+    goal = np.arange(1, parts) / parts
+    lo, hi = np.zeros(parts - 1), np.ones(parts - 1)
+    for _ in range(BITS):
+        mid = (lo + hi) / 2
+        q = 1 - mid
+        below = 1 - (WIDTH + 1) / 2 * q**WIDTH + (WIDTH - 1) / 2 * q ** (WIDTH + 1) < goal
+        lo, hi = np.where(below, mid, lo), np.where(below, hi, mid)
+    return np.maximum.accumulate((hi * (1 << BITS)).astype(np.uint64))
+
+
 def meeting_places(texts: DataFrame, parts: int) -> tuple[DataFrame, DataFrame]:
     """(doc, tid, at array<int>): the anchors of each text whose k-gram stands in another document too; and the stored
     table of anchors that it is read from."""
+    ranges = bounds(parts)
 
     def send(batches):
         import pyarrow as pa
@@ -150,8 +164,7 @@ def meeting_places(texts: DataFrame, parts: int) -> tuple[DataFrame, DataFrame]:
                 add(run=run, local=who[o[s]], at=at[o[s:e]])
             sent = ~here | new  # one of a group that has met is enough for others
             h, who, at = h[sent], who[sent], at[sent]
-            part = (h * np.uint64(parts)) >> np.uint64(BITS)
-            edges = np.searchsorted(part, np.arange(parts + 1, dtype=np.uint64))
+            edges = np.concatenate([[0], np.searchsorted(h, ranges), [len(h)]])
             for p in range(parts):
                 s, e = edges[p], edges[p + 1]
                 if s < e:
@@ -200,6 +213,7 @@ def meeting_places(texts: DataFrame, parts: int) -> tuple[DataFrame, DataFrame]:
             # a run's rows stand together, by text: the ends of a group tell whether it holds two texts
             keep = order[np.repeat((which[a] != which[b]) | (local[a] != local[b]), many)]
             yield pa.RecordBatch.from_arrays([pa.array(names[which[keep]]), pa.array(local[keep]), pa.array(at[keep])], ["run", "local", "at"])
+        release()
 
     far = sent.where("part is not null").select("part", "block", "run").repartition(parts, "part").sortWithinPartitions("part", "run").mapInArrow(meet, "run long, local int, at int")
     far = far.groupBy("run", "local").agg(F.collect_list("at").alias("at"))
@@ -383,8 +397,8 @@ def whole(key: bytes, at: int) -> tuple[int, int] | None:
     return (at - key[-1], at + key[-2]) if key[-1] + key[-2] >= LENGTH else None
 
 
-def removed(texts: DataFrame, places: DataFrame, spent: DataFrame, splits: np.ndarray, parts: int, crowd: int) -> DataFrame:
-    """(doc, tid, a, b): spans of bytes that go, from the suffixes at ``places``."""
+def removed(texts: DataFrame, places: DataFrame, splits: np.ndarray, parts: int, crowd: int) -> DataFrame:
+    """(doc, tid, a, b): spans of bytes that go, from the suffixes at the stored ``places``, which go once they are read."""
     joined = texts.join(places, ["doc", "tid"])
 
     def sort(batches):
@@ -445,8 +459,8 @@ def removed(texts: DataFrame, places: DataFrame, spent: DataFrame, splits: np.nd
             yield flush()
         release()
 
-    sent = store(joined.mapInArrow(sort, "part int, run long, seq int, block binary, doc long, tid long, a int, b int"), "runs")
-    drop_stored(spent)
+    sent = store(joined.mapInArrow(sort, "part int, run long, seq int, block binary, doc long, tid long, a int, b int"), "runs", free=True)
+    drop_stored(places)
 
     def sweep(batches):
         import pyarrow as pa
@@ -510,7 +524,7 @@ def removed(texts: DataFrame, places: DataFrame, spent: DataFrame, splits: np.nd
 
     far = sent.where("part is not null").select("part", "run", "seq", "block").repartition(parts, "part").sortWithinPartitions("part", "run", "seq")
     near = sent.where("part is null").select("doc", "tid", "a", "b", F.lit(None).cast("binary").alias("key"))
-    swept = store(far.mapInArrow(sweep, "doc long, tid long, a int, b int, key binary").unionByName(near), "swept")
+    swept = store(far.mapInArrow(sweep, "doc long, tid long, a int, b int, key binary").unionByName(near), "swept", free=True)
     drop_stored(sent)
     out = swept.where("key is null").select("doc", "tid", "a", "b")
     crowded = swept.where("key is not null")
@@ -571,8 +585,9 @@ def dedup(docs: DataFrame, text: str = "text", key: str = "doc_id", crowd: int =
     copies = store(salted.join(first, ["digest", "salt"]).where("doc > first").select("doc", "tid", F.lit(0).alias("a"), F.col("n").cast("int").alias("b")), "copies").dropDuplicates(["doc", "tid"])
     own = texts.select("doc", "tid", "text")
     places, spent = meeting_places(own, parts)
-    places = places.join(copies.select("doc", "tid"), ["doc", "tid"], "left_anti")
-    spans = removed(own, places, spent, split_points(own, digests, parts), parts, crowd).unionByName(copies)
+    places = store(places.join(copies.select("doc", "tid"), ["doc", "tid"], "left_anti"), "places", free=True)
+    drop_stored(spent)
+    spans = removed(own, places, split_points(own, digests, parts), parts, crowd).unionByName(copies)
     by_doc = spans.groupBy("doc", "tid").agg(F.array_sort(F.collect_set(F.struct("a", "b"))).alias("spans"))
 
     def settle(batches):
