@@ -4,9 +4,9 @@ Base spans are e-mail addresses, IP addresses, card and phone numbers. On top, e
 entity e. Over the whole corpus, the terms t in the documents that mention it are counted, and the pointwise mutual
 information pmi(e, t) = ln(n(e,t) N / (n(e) n(t))) is held against the information content of the entity,
 ic(e) = ln(N / n(e)). A term with pmi / ic at or above ``generalise_at`` discloses the entity: every occurrence of it
-in any text is generalised to its shape, or removed from ``remove_at`` up. n(e,t) and n(e) count documents, of those
-whose mention stands in the same words (``around`` on either side) one, so that copies of one text are no evidence; at
-least ``support`` are asked for. n(t) counts all documents, which can only make a term look more common than it is.
+in any text is generalised to its shape, or removed from ``remove_at`` up. N and all n count different whole texts, so
+copies of one text are neither evidence for a term nor against it, and no text that differs is left out, whatever words
+stand around the value. At least ``support`` texts are asked for n(e) and n(e,t); with 1 every value and pair is judged.
 
 Defined results: a null text is empty; repeated rows each give a row with the same spans; other columns pass through
 ``sanitise`` untouched; an empty table gives an empty one; every scan is linear in the text, however long.
@@ -16,7 +16,6 @@ from __future__ import annotations
 
 import hashlib
 import re
-from bisect import bisect_left
 from collections import Counter
 from collections.abc import Iterator
 
@@ -90,65 +89,66 @@ def words(text: str, spans: list[tuple[str, int, int]]) -> list[re.Match]:
     return out
 
 
-def contexts(text: str, spans: list[tuple[str, int, int]], around: int) -> tuple[dict[str, str], list[re.Match]]:
-    """The least digest of the ``around`` words on either side of its mentions, for each entity; and all words."""
-    every, out = words(text, spans), {}
-    starts = [m.start() for m in every]
-    for kind, a, b in spans:
-        i = bisect_left(starts, a)
-        near = every[max(0, i - around) : i + around]
-        value = re.sub(r"[^0-9A-Za-z@.]", "", text[a:b]).lower()
-        digest = hashlib.md5(" ".join(m[0].lower() for m in near).encode()).hexdigest()
-        entity = f"{kind}:{value}"
-        out[entity] = min(digest, out.get(entity, digest))
-    return out, every
+def values(text: str, spans: list[tuple[str, int, int]]) -> list[str]:
+    """The entities that the spans of a text name, each once."""
+    return sorted({f"{kind}:" + re.sub(r"[^0-9A-Za-z@.]", "", text[a:b]).lower() for kind, a, b in spans})
 
 
 def term_hashes(terms, memory: WordHashes) -> np.ndarray:
     return np.fromiter(map(memory.__getitem__, terms), np.uint64).view(np.int64)
 
 
-def mentions(docs: DataFrame, text: str = "text", key: str = "doc_id", around: int = 8) -> DataFrame:
-    """(row, entities array<entity, context>, terms) of each text that has any span, written to the shared folder."""
+def digest_of(text: str) -> bytes:
+    return hashlib.md5(text.encode("utf-8", "surrogatepass")).digest()
+
+
+def mentions(docs: DataFrame, text: str = "text", key: str = "doc_id") -> DataFrame:
+    """(row, entities, terms) of each different text that has any span, written to the shared folder."""
 
     def run(batches):
         import pyarrow as pa
 
         memory = WordHashes()
-        schema = pa.schema([("entities", pa.list_(pa.struct([("entity", pa.string()), ("context", pa.string())]))), ("terms", pa.list_(pa.int64()))])
+        schema = pa.schema([("digest", pa.binary()), ("entities", pa.list_(pa.string())), ("terms", pa.list_(pa.int64()))])
         for _, texts in arrow_rows(batches, text, key):
-            rows = {"entities": [], "terms": []}
+            rows = {"digest": [], "entities": [], "terms": []}
             for t in texts:
                 if spans := base_spans(t):
-                    found, every = contexts(t, spans, around)
-                    rows["entities"].append([{"entity": e, "context": c} for e, c in found.items()])
-                    rows["terms"].append(term_hashes({m[0].lower() for m in every}, memory))
+                    rows["digest"].append(digest_of(t))
+                    rows["entities"].append(values(t, spans))
+                    rows["terms"].append(term_hashes({m[0].lower() for m in words(t, spans)}, memory))
             yield pa.RecordBatch.from_pydict(rows, schema=schema)
 
-    out = docs.select(key, text).mapInArrow(run, "entities array<struct<entity:string,context:string>>, terms array<long>")
-    return store(out.withColumn("row", F.monotonically_increasing_id()), "pii-mentions")
+    out = docs.select(key, text).mapInArrow(run, "digest binary, entities array<string>, terms array<long>").dropDuplicates(["digest"])
+    return store(out.select("entities", "terms").withColumn("row", F.monotonically_increasing_id()), "pii-mentions")
 
 
 def term_counts(docs: DataFrame, text: str = "text", key: str = "doc_id") -> DataFrame:
-    """(term as 64-bit hash, n): in how many texts each word stands, added up in each task before the shuffle."""
+    """(term as 64-bit hash, n): in how many different texts each word stands, added up in each task before the shuffle."""
 
-    def run(batches):
+    def each(batches):
         import pyarrow as pa
 
-        n, memory = Counter(), WordHashes()
+        memory = WordHashes()
+        schema = pa.schema([("digest", pa.binary()), ("terms", pa.list_(pa.int64()))])
+        for _, texts in arrow_rows(batches, text, key):
+            rows = {"digest": [digest_of(t) for t in texts], "terms": [term_hashes(set(_WORD.findall(t.lower())), memory) for t in texts]}
+            yield pa.RecordBatch.from_pydict(rows, schema=schema)
 
-        def out():
-            return pa.RecordBatch.from_arrays([pa.array(term_hashes(n, memory)), pa.array(list(n.values()), pa.int64())], ["term", "n"])
+    def add(batches):
+        import pyarrow as pa
+
+        for b in batches:
+            term, n = np.unique(b.column("terms").flatten().to_numpy(), return_counts=True)
+            yield pa.RecordBatch.from_arrays([pa.array(term), pa.array(n)], ["term", "n"])
+
+    different = docs.select(key, text).mapInArrow(each, "digest binary, terms array<long>").dropDuplicates(["digest"])
+    return different.select("terms").mapInArrow(add, "term long, n long").groupBy("term").agg(F.sum("n").alias("n"))
 
-        for _, texts in arrow_rows(batches, text, key):
-            for t in texts:
-                n.update(set(_WORD.findall(t.lower())))
-            if len(n) > 400_000:
-                yield out()
-                n.clear()
-        yield out()
 
-    return docs.select(key, text).mapInArrow(run, "term long, n long").groupBy("term").agg(F.sum("n").alias("n"))
+def text_count(docs: DataFrame, text: str = "text") -> int:
+    """How many different texts there are; null is empty."""
+    return docs.select(F.md5(F.coalesce(F.col(text), F.lit(""))).alias("digest")).distinct().count()
 
 
 def pair_counts(held: DataFrame) -> DataFrame:
@@ -177,10 +177,9 @@ def pair_counts(held: DataFrame) -> DataFrame:
 
 def disclosing(found: DataFrame, counts: DataFrame, n_docs: int, generalise_at: float, support: int) -> DataFrame:
     """(term, share): terms whose share of an entity's information is at least ``generalise_at``."""
-    units = found.select("row", F.explode("entities").alias("x")).groupBy("x.entity", "x.context").agg(F.min("row").alias("row"))
-    units = store(units, "pii-units")
+    units = found.select("row", F.explode("entities").alias("entity"))
     entities = units.groupBy("entity").agg(F.count("*").alias("n_e")).where(F.col("n_e") >= support)
-    held = units.join(entities, "entity").groupBy("row").agg(F.collect_list("entity").alias("entities")).join(found.select("row", "terms"), "row")
+    held = units.join(entities.select("entity"), "entity").groupBy("row").agg(F.collect_list("entity").alias("entities")).join(found.select("row", "terms"), "row")
     pairs = pair_counts(held.select("entities", "terms")).where(F.col("n") >= support).withColumnRenamed("n", "n_et")
     known = pairs.join(entities, "entity").join(counts.withColumnRenamed("n", "n_t"), "term")
     share = 1 + F.ln(F.least(F.lit(1.0), F.col("n_et") / F.col("n_t"))) / F.ln(F.lit(float(max(n_docs, 2))) / F.least(F.col("n_e"), F.lit(max(n_docs, 2) / 2.0)))
@@ -190,8 +189,8 @@ def disclosing(found: DataFrame, counts: DataFrame, n_docs: int, generalise_at:
 class Marker:
     """Finds every occurrence of the disclosing terms in a text: sorted hashes and shares, sent once to each worker."""
 
-    def __init__(self, docs: DataFrame, generalise_at: float, support: int, text: str, key: str, around: int):
-        terms = disclosing(mentions(docs, text, key, around), term_counts(docs, text, key), docs.count(), generalise_at, support).toArrow()
+    def __init__(self, docs: DataFrame, generalise_at: float, support: int, text: str, key: str):
+        terms = disclosing(mentions(docs, text, key), term_counts(docs, text, key), text_count(docs, text), generalise_at, support).toArrow()
         h, share = terms.column("term").to_numpy(), terms.column("share").to_numpy()
         order = np.argsort(h)
         self.terms = docs.sparkSession.sparkContext.broadcast((h[order], share[order]))
@@ -212,9 +211,9 @@ class Marker:
         return [(*every[i].span(), float(share[at[i]])) for i in np.flatnonzero(h[at] == own).tolist()]
 
 
-def scan(docs: DataFrame, text: str = "text", key: str = "doc_id", around: int = 8, generalise_at: float = 0.8, support: int = 3) -> DataFrame:
+def scan(docs: DataFrame, text: str = "text", key: str = "doc_id", generalise_at: float = 0.8, support: int = 3) -> DataFrame:
     """(key, spans array<kind, a, b>, extra array<a, b, share>) of every row of ``docs``; positions are code points."""
-    mark = Marker(docs, generalise_at, support, text, key, around)
+    mark = Marker(docs, generalise_at, support, text, key)
 
     def run(batches):
         import pyarrow as pa
@@ -257,11 +256,11 @@ def redact(text: str, spans: list[tuple[str, int, int]], extra: list[tuple[int,
     return "".join([*out, text[done:]])
 
 
-def sanitise(docs: DataFrame, text: str = "text", key: str = "doc_id", around: int = 8, generalise_at: float = 0.8, remove_at: float = 0.95, support: int = 3) -> DataFrame:
+def sanitise(docs: DataFrame, text: str = "text", key: str = "doc_id", generalise_at: float = 0.8, remove_at: float = 0.95, support: int = 3) -> DataFrame:
     """``docs`` with the personal data of ``text`` taken out; all other columns as they are.
 
     Base spans and disclosing terms are found in place, so no text is shuffled."""
-    mark = Marker(docs, generalise_at, support, text, key, around)
+    mark = Marker(docs, generalise_at, support, text, key)
 
     @F.pandas_udf("string")
     def clean(texts):
