@@ -98,57 +98,62 @@ def term_hashes(terms, memory: WordHashes) -> np.ndarray:
     return np.fromiter(map(memory.__getitem__, terms), np.uint64).view(np.int64)
 
 
-def digest_of(text: str) -> bytes:
-    return hashlib.md5(text.encode("utf-8", "surrogatepass")).digest()
+def hashed(docs: DataFrame, text: str = "text") -> DataFrame:
+    """(digest, text): 64 bits that are equal for equal texts; null is empty."""
+    return docs.select(F.xxhash64(F.coalesce(F.col(text), F.lit(""))).alias("digest"), F.col(text).alias("text"))
 
 
-def mentions(docs: DataFrame, text: str = "text", key: str = "doc_id") -> DataFrame:
+def mentions(docs: DataFrame) -> DataFrame:
     """(row, entities, terms) of each different text that has any span, written to the shared folder."""
 
     def run(batches):
         import pyarrow as pa
 
         memory = WordHashes()
-        schema = pa.schema([("digest", pa.binary()), ("entities", pa.list_(pa.string())), ("terms", pa.list_(pa.int64()))])
-        for _, texts in arrow_rows(batches, text, key):
+        schema = pa.schema([("digest", pa.int64()), ("entities", pa.list_(pa.string())), ("terms", pa.list_(pa.int64()))])
+        for digests, texts in arrow_rows(batches, "text", "digest"):
             rows = {"digest": [], "entities": [], "terms": []}
-            for t in texts:
+            for digest, t in zip(digests, texts, strict=True):
                 if spans := base_spans(t):
-                    rows["digest"].append(digest_of(t))
+                    rows["digest"].append(digest)
                     rows["entities"].append(values(t, spans))
                     rows["terms"].append(term_hashes({m[0].lower() for m in words(t, spans)}, memory))
             yield pa.RecordBatch.from_pydict(rows, schema=schema)
 
-    out = docs.select(key, text).mapInArrow(run, "digest binary, entities array<string>, terms array<long>").dropDuplicates(["digest"])
+    out = docs.mapInArrow(run, "digest long, entities array<string>, terms array<long>").dropDuplicates(["digest"])
     return store(out.select("entities", "terms").withColumn("row", F.monotonically_increasing_id()), "pii-mentions")
 
 
-def term_counts(docs: DataFrame, text: str = "text", key: str = "doc_id") -> DataFrame:
-    """(term as 64-bit hash, n): in how many different texts each word stands, added up in each task before the shuffle."""
+def term_counts(docs: DataFrame, repeated) -> DataFrame:
+    """(term as 64-bit hash, n): in how many different texts each word stands, added up in each task before the shuffle.
+    Texts whose digest is in ``repeated``, a sorted broadcast, are kept apart until their copies have met."""
 
-    def each(batches):
-        import pyarrow as pa
-
-        memory = WordHashes()
-        schema = pa.schema([("digest", pa.binary()), ("terms", pa.list_(pa.int64()))])
-        for _, texts in arrow_rows(batches, text, key):
-            rows = {"digest": [digest_of(t) for t in texts], "terms": [term_hashes(set(_WORD.findall(t.lower())), memory) for t in texts]}
-            yield pa.RecordBatch.from_pydict(rows, schema=schema)
-
-    def add(batches):
+    def run(batches):
         import pyarrow as pa
 
-        for b in batches:
-            term, n = np.unique(b.column("terms").flatten().to_numpy(), return_counts=True)
-            yield pa.RecordBatch.from_arrays([pa.array(term), pa.array(n)], ["term", "n"])
+        n, memory, done, again = Counter(), WordHashes(), set(), repeated.value
 
-    different = docs.select(key, text).mapInArrow(each, "digest binary, terms array<long>").dropDuplicates(["digest"])
-    return different.select("terms").mapInArrow(add, "term long, n long").groupBy("term").agg(F.sum("n").alias("n"))
+        def out(digest, terms, many):
+            return pa.RecordBatch.from_arrays([pa.array([digest] * len(many), pa.int64()), pa.array(terms), pa.array(many, pa.int64())], ["digest", "term", "n"])
 
+        for digests, texts in arrow_rows(batches, "text", "digest"):
+            at = np.minimum(np.searchsorted(again, digests), len(again) - 1)
+            copied = again[at] == digests if len(again) else np.zeros(len(digests), bool)
+            for digest, t, copy in zip(digests, texts, copied.tolist(), strict=True):
+                own = set(_WORD.findall(t.lower()))
+                if not copy:
+                    n.update(own)
+                elif digest not in done:
+                    done.add(digest)
+                    yield out(digest, term_hashes(own, memory), [1] * len(own))
+            if len(n) > 400_000:
+                yield out(None, term_hashes(n, memory), list(n.values()))
+                n.clear()
+        yield out(None, term_hashes(n, memory), list(n.values()))
 
-def text_count(docs: DataFrame, text: str = "text") -> int:
-    """How many different texts there are; null is empty."""
-    return docs.select(F.md5(F.coalesce(F.col(text), F.lit(""))).alias("digest")).distinct().count()
+    each = docs.mapInArrow(run, "digest long, term long, n long").groupBy("digest", "term").agg(F.sum("n").alias("n"))
+    once = F.when(F.col("digest").isNull(), F.col("n")).otherwise(1)
+    return each.groupBy("term").agg(F.sum(once).alias("n"))
 
 
 def pair_counts(held: DataFrame) -> DataFrame:
@@ -189,8 +194,12 @@ def disclosing(found: DataFrame, counts: DataFrame, n_docs: int, generalise_at:
 class Marker:
     """Finds every occurrence of the disclosing terms in a text: sorted hashes and shares, sent once to each worker."""
 
-    def __init__(self, docs: DataFrame, generalise_at: float, support: int, text: str, key: str):
-        terms = disclosing(mentions(docs, text, key), term_counts(docs, text, key), text_count(docs, text), generalise_at, support).toArrow()
+    def __init__(self, docs: DataFrame, generalise_at: float, support: int, text: str):
+        texts = hashed(docs, text)
+        sizes = texts.groupBy("digest").agg(F.count("*").alias("n"))
+        repeated = np.sort(sizes.where("n > 1").select("digest").toArrow().column("digest").to_numpy())
+        counts = term_counts(texts, docs.sparkSession.sparkContext.broadcast(repeated))
+        terms = disclosing(mentions(texts), counts, sizes.count(), generalise_at, support).toArrow()
         h, share = terms.column("term").to_numpy(), terms.column("share").to_numpy()
         order = np.argsort(h)
         self.terms = docs.sparkSession.sparkContext.broadcast((h[order], share[order]))
@@ -213,7 +222,7 @@ class Marker:
 
 def scan(docs: DataFrame, text: str = "text", key: str = "doc_id", generalise_at: float = 0.8, support: int = 3) -> DataFrame:
     """(key, spans array<kind, a, b>, extra array<a, b, share>) of every row of ``docs``; positions are code points."""
-    mark = Marker(docs, generalise_at, support, text, key)
+    mark = Marker(docs, generalise_at, support, text)
 
     def run(batches):
         import pyarrow as pa
@@ -260,7 +269,7 @@ def sanitise(docs: DataFrame, text: str = "text", key: str = "doc_id", generalis
     """``docs`` with the personal data of ``text`` taken out; all other columns as they are.
 
     Base spans and disclosing terms are found in place, so no text is shuffled."""
-    mark = Marker(docs, generalise_at, support, text, key)
+    mark = Marker(docs, generalise_at, support, text)
 
     @F.pandas_udf("string")
     def clean(texts):
